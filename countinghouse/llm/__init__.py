@@ -1,0 +1,12 @@
+"""Training-data operators: quality, dedup, decontamination, formatting, mixing.
+
+Nothing else in the library imports this subpackage. Functions that run in
+Python workers are shipped by value, so that a cluster needs no installed copy
+of the package.
+"""
+
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+register_pickle_by_value(sys.modules[__name__])
