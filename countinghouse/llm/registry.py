@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_rules, op6_decontaminate
+from . import op1_rules, op6_decontaminate, op9_substrings, op10_lines
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op1_rules": op1_rules.op1_rules,
         "rule_ablation": op1_rules.rule_ablation,
         "op6_decontaminate": op6_decontaminate.op6_decontaminate,
+        "op9_substrings": op9_substrings.op9_substrings,
+        "op10_lines": op10_lines.op10_lines,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_rules": op1_rules.ORACLE, "rule_ablation": op1_rules.ABLATION_ORACLE, "op6_decontaminate": op6_decontaminate.ORACLE}
+    return {"op1_rules": op1_rules.ORACLE, "rule_ablation": op1_rules.ABLATION_ORACLE, "op6_decontaminate": op6_decontaminate.ORACLE, "op9_substrings": op9_substrings.ORACLE, "op10_lines": op10_lines.ORACLE}
