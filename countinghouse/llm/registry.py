@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_rules, op6_decontaminate, op9_substrings, op10_lines
+from . import op1_rules, op3_near, op6_decontaminate, op9_substrings, op10_lines
 
 
 def queries() -> dict:
     return {
         "op1_rules": op1_rules.op1_rules,
         "rule_ablation": op1_rules.rule_ablation,
+        "op3_near": op3_near.op3_near,
         "op6_decontaminate": op6_decontaminate.op6_decontaminate,
         "op9_substrings": op9_substrings.op9_substrings,
         "op10_lines": op10_lines.op10_lines,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_rules": op1_rules.ORACLE, "rule_ablation": op1_rules.ABLATION_ORACLE, "op6_decontaminate": op6_decontaminate.ORACLE, "op9_substrings": op9_substrings.ORACLE, "op10_lines": op10_lines.ORACLE}
+    return {"op1_rules": op1_rules.ORACLE, "rule_ablation": op1_rules.ABLATION_ORACLE, "op3_near": op3_near.ORACLE, "op6_decontaminate": op6_decontaminate.ORACLE, "op9_substrings": op9_substrings.ORACLE, "op10_lines": op10_lines.ORACLE}
