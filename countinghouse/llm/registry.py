@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import op1_rules, op2_quality, op3_near, op6_decontaminate, op8_mixing, op9_substrings, op10_lines
+from . import op1_rules, op2_quality, op3_near, op4_replies, op5_urls, op6_decontaminate, op8_mixing, op9_substrings, op10_lines
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "rule_ablation": op1_rules.rule_ablation,
         "op2_quality": op2_quality.op2_quality,
         "op3_near": op3_near.op3_near,
+        "op4_replies": op4_replies.op4_replies,
+        "op5_urls": op5_urls.op5_urls,
         "op6_decontaminate": op6_decontaminate.op6_decontaminate,
         "op8_mixing": op8_mixing.op8_mixing,
         "op9_substrings": op9_substrings.op9_substrings,
@@ -26,6 +28,7 @@ def oracle_sql() -> dict:
         "op1_rules": op1_rules.ORACLE,
         "rule_ablation": op1_rules.ABLATION_ORACLE,
         "op3_near": op3_near.ORACLE,
+        "op4_replies": op4_replies.ORACLE,
         "op6_decontaminate": op6_decontaminate.ORACLE,
         "op8_mixing": op8_mixing.ORACLE,
         "op9_substrings": op9_substrings.ORACLE,
