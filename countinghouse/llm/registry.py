@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import op1_rules, op2_quality, op3_near, op4_replies, op5_urls, op6_decontaminate, op8_mixing, op9_substrings, op10_lines
+from . import op1_rules, op2_quality, op3_near, op4_replies, op5_urls, op6_decontaminate, op7_licences, op8_mixing, op9_substrings, op10_lines
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op4_replies": op4_replies.op4_replies,
         "op5_urls": op5_urls.op5_urls,
         "op6_decontaminate": op6_decontaminate.op6_decontaminate,
+        "op7_licences": op7_licences.op7_licences,
         "op8_mixing": op8_mixing.op8_mixing,
         "op9_substrings": op9_substrings.op9_substrings,
         "op10_lines": op10_lines.op10_lines,
@@ -30,6 +31,7 @@ def oracle_sql() -> dict:
         "op3_near": op3_near.ORACLE,
         "op4_replies": op4_replies.ORACLE,
         "op6_decontaminate": op6_decontaminate.ORACLE,
+        "op7_licences": op7_licences.ORACLE,
         "op8_mixing": op8_mixing.ORACLE,
         "op9_substrings": op9_substrings.ORACLE,
         "op10_lines": op10_lines.ORACLE,
