@@ -11,8 +11,10 @@ doc_id. Windows are judged on the input.
 2. The pairs are dealt by the top bits of the hash, packed into sorted, delta
    coded arrays, to buckets of bounded size. A bucket finds each window's
    smallest document and answers the others: (document, hashes to remove).
-3. Each document meets its answers by doc_id; windows with those hashes merge
-   with the intervals into maximal removal intervals.
+3. The answers are dealt by groups of documents, packed likewise, and a group
+   tells each of its documents in one row what to remove.
+4. Each document meets its row by doc_id; windows with those hashes merge with
+   the intervals into maximal removal intervals.
 
 Hashes have 64 bits: n distinct windows give about n*n / 2**65 pairs that are
 taken for equal by accident, 5e-4 for the 1.4e8 windows of 0.5 GB.
@@ -145,55 +147,98 @@ def _pairs(width: int, bits: int):
     return run
 
 
-def _answers(batches):
-    """From the pairs by bucket: (doc_id, version, hashes to remove), and intervals passed on."""
-    names, kinds = ["doc_id", "version", "hashes", "spans"], (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    now, hashes, docs, out_doc, out_hash, size = None, [], [], [], [], 0
+def _group(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def _answers(group_bits: int):
+    """From the pairs by bucket, rows by group of documents: packed (documents, hashes to remove), and intervals passed on."""
+    names, kinds = ["bucket", "doc_id", "version", "hashes", "docs"], (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+
+    def run(batches):
+        now, hashes, docs, out_doc, out_hash, size = None, [], [], [], [], 0
+
+        def settle():
+            h, d = np.concatenate(hashes), np.concatenate(docs)
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            new = np.append(True, h[1:] != h[:-1])
+            later = d > d[new][np.cumsum(new) - 1]
+            later[1:] &= ~((h[1:] == h[:-1]) & (d[1:] == d[:-1]))
+            out_doc.append(d[later])
+            out_hash.append(h[later])
+            hashes.clear()
+            docs.clear()
+            return int(later.sum())
+
+        def answer():
+            d, h = np.concatenate(out_doc), np.concatenate(out_hash)
+            out_doc.clear()
+            out_hash.clear()
+            group = _group(d, group_bits)
+            order = np.lexsort((h, group))
+            group, d, h = group[order], d[order], h[order]
+            edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            both = list(zip(edges, np.append(edges[1:], len(d))))
+            none = pa.nulls(len(edges), pa.int64())
+            blobs = [pa.array(x, pa.binary()) for x in ([pack_sorted(h[a:b]) for a, b in both], [pack(d[a:b]) for a, b in both])]
+            return pa.RecordBatch.from_arrays([pa.array(group[edges]), none, none, *blobs], names)
+
+        for batch in batches:
+            passed = batch.filter(pa.array(np.logical_not(batch["doc_id"].is_null().to_numpy(zero_copy_only=False))))
+            if len(passed):
+                group = _group(passed["doc_id"].to_numpy(), group_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(group), passed["doc_id"], passed["version"], pa.nulls(len(passed), kinds[3]), passed["docs"]], names)
+            for bucket, h, d in zip(batch["bucket"].to_pylist(), batch["hashes"].to_pylist(), batch["docs"].to_pylist()):
+                if h is None:
+                    continue
+                if bucket != now and hashes:
+                    size += settle()
+                    if size >= BLOCK_WINDOWS:
+                        yield answer()
+                        size = 0
+                now = bucket
+                hashes.append(unpack_sorted(h))
+                docs.append(unpack(d, len(hashes[-1]), np.int64))
+        if hashes:
+            size += settle()
+        if size:
+            yield answer()
+
+    return run
+
+
+def _by_document(batches):
+    """From the answers by group: a row a document with all that it is to remove."""
+    now, hashes, docs, spans = None, [], [], {}
 
     def settle():
-        nonlocal size
-        h, d = np.concatenate(hashes), np.concatenate(docs)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        new = np.append(True, h[1:] != h[:-1])
-        later = d > d[new][np.cumsum(new) - 1]
-        later[1:] &= ~((h[1:] == h[:-1]) & (d[1:] == d[:-1]))
-        out_doc.append(d[later])
-        out_hash.append(h[later])
-        size += int(later.sum())
+        found = {d: [{"version": v, "hashes": None, "spans": s} for v, s in x] for d, x in spans.items()}
+        if hashes:
+            h, d = np.concatenate(hashes), np.concatenate(docs)
+            order = np.argsort(d, kind="stable")
+            h, d = h[order], d[order]
+            edges = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+            for a, b in zip(edges, np.append(edges[1:], len(d))):
+                found.setdefault(int(d[a]), []).append({"version": None, "hashes": h[a:b].tobytes(), "spans": None})
         hashes.clear()
         docs.clear()
-
-    def answer():
-        d, h = np.concatenate(out_doc), np.concatenate(out_hash)
-        out_doc.clear()
-        out_hash.clear()
-        order = np.lexsort((h, d))
-        d, h = d[order], h[order]
-        edges = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        blobs = [h[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(d)))]
-        none = pa.nulls(len(edges), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(d[edges]), none, pa.array(blobs, pa.binary()), pa.nulls(len(edges), pa.binary())], names)
+        spans.clear()
+        kind = pa.list_(pa.struct([("version", pa.int64()), ("hashes", pa.binary()), ("spans", pa.binary())]))
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), kind)], ["found_id", "found"])
 
     for batch in batches:
-        passed = batch.filter(pa.array(np.logical_not(batch["doc_id"].is_null().to_numpy(zero_copy_only=False))))
-        if len(passed):
-            yield pa.RecordBatch.from_arrays([passed["doc_id"], passed["version"], pa.nulls(len(passed), kinds[2]), passed["docs"]], names)
-        for bucket, h, d in zip(batch["bucket"].to_pylist(), batch["hashes"].to_pylist(), batch["docs"].to_pylist()):
+        for group, doc, version, h, d in zip(*(batch[c].to_pylist() for c in ("bucket", "doc_id", "version", "hashes", "docs"))):
+            if group != now and (hashes or spans):
+                yield settle()
+            now = group
             if h is None:
-                continue
-            if bucket != now and hashes:
-                settle()
-                if size >= BLOCK_WINDOWS:
-                    yield answer()
-                    size = 0
-            now = bucket
-            hashes.append(unpack_sorted(h))
-            docs.append(unpack(d, len(hashes[-1]), np.int64))
-    if hashes:
-        settle()
-    if size:
-        yield answer()
+                spans.setdefault(doc, set()).add((version, d))
+            else:
+                hashes.append(unpack_sorted(h))
+                docs.append(unpack(d, len(hashes[-1]), np.int64))
+    if hashes or spans:
+        yield settle()
 
 
 def _kept(width: int):
@@ -245,8 +290,9 @@ def repeated_passages(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     bits = min(30, max(4, math.ceil(math.log2(max(16 * n, words / 6 / BUCKET_WINDOWS)))))
     pairs = rows.where(F.col("doc_id").isNotNull()).mapInArrow(_pairs(width, bits), _PAIRS)
     dealt = pairs.repartition(n, "bucket").sortWithinPartitions("bucket")
-    answers = dealt.mapInArrow(_answers, "doc_id long, version long, hashes binary, spans binary")
-    found = answers.groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_list(F.struct("version", "hashes", "spans")).alias("found"))
+    answers = dealt.mapInArrow(_answers(max(4, math.ceil(math.log2(2 * n)))), _PAIRS)
+    answers = answers.repartition(n, "bucket").sortWithinPartitions("bucket")
+    found = answers.mapInArrow(_by_document, "found_id long, found array<struct<version:long,hashes:binary,spans:binary>>")
     joined = rows.join(found, rows["doc_id"] == found["found_id"], "left").drop("found_id")
     return joined.mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
 
