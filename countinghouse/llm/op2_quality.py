@@ -146,10 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     # At most 2 * SAMPLE ids are broadcast.
     rows = texts.join(F.broadcast(chosen), "id").select("positive", "unlabelled", "text").mapInArrow(run, "positive int, unlabelled int, x binary").collect()
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), -1)
     is_positive, is_unlabelled = (np.array([r[k] for r in rows], int) for k in ("positive", "unlabelled"))
-    width = statistics(pa.array([], pa.string())).shape[1]
-    x = x if len(rows) else np.zeros((0, width), np.float32)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else statistics(pa.array([], pa.string()))
     return fit(x[is_positive == 1], x[is_unlabelled == 0], prior)
 
 
