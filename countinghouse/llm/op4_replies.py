@@ -78,11 +78,12 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """(tree, leaf, place, node): the nodes of the best root-to-leaf paths, numbered from the root."""
     nodes = messages.select("tree", "node", "parent", "score")
     jumps = _jumps(nodes)
-    found = branches(nodes, jumps, best).select("tree", "leaf", F.col("length").alias("place"), F.col("leaf").alias("node"))
+    # Each level reads the one before twice, so each is written.
+    found = cut(branches(nodes, jumps, best).select("tree", "leaf", F.col("length").alias("place"), F.col("leaf").alias("node")))
     for k in reversed(range(len(jumps))):
         up = jumps[k].where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         above = found.join(up, found["tree"].eqNullSafe(up["t"]) & (found["node"] == up["n"]))
-        found = found.unionByName(above.select("tree", "leaf", (F.col("place") - (1 << k)).alias("place"), F.col("up").alias("node")))
+        found = cut(found.unionByName(above.select("tree", "leaf", (F.col("place") - (1 << k)).alias("place"), F.col("up").alias("node"))))
     return found
 
 
