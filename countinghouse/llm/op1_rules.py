@@ -100,12 +100,12 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     windows = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(WINDOW)]))
     df = df.withColumn("windows", F.when(F.size("hashes") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
     repeated = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _covered(F.col("windows"), WINDOW)).otherwise(0)
-    return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_capitals",
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated.cast("long").alias("n_repeat_words"),
-    )
+    measures = {
+        "n_words": F.col("n_words"), "word_chars": F.col("word_chars"), "n_symbols": F.col("n_symbols"), "n_capitals": F.col("n_capitals"),
+        "n_lines": F.size("lines").cast("long"), "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"), "n_repeat_words": repeated.cast("long"),
+    }
+    # A generator, through which a filter on the measures isn't pushed: it would compute them again for each mention.
+    return df.select("doc_id", F.inline(F.array(F.struct(*[c.alias(n) for n, c in measures.items()]))))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
