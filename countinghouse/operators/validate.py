@@ -146,7 +146,11 @@ def create_transfers(batch: DataFrame, accounts: DataFrame, transfers: DataFrame
     names = ("id", "debit_account_id", "credit_account_id", "amount", "pending_id", "timeout", "ledger", "code", "flags")
     sound = rows.where(F.col("status").isNull()).select(*names, F.col("at").alias("timestamp"))
     resolved = resolve(transfers.select(*names, "timestamp").unionByName(sound)).where(F.col("status").isNotNull())
-    failed = resolved.select(F.col("id").alias("failed_id"), F.col("status").alias("resolver_status")).dropDuplicates(["failed_id"])
+    # A resolver that names one which failed itself names nothing.
+    fallen = resolved.select(F.col("id").alias("fallen_id")).distinct()
+    resolved = resolved.join(fallen, resolved["pending_id"] == fallen["fallen_id"], "left")
+    code = F.when((F.col("status") == 26) & F.col("fallen_id").isNotNull(), 25).otherwise(F.col("status"))
+    failed = resolved.select(F.col("id").alias("failed_id"), code.alias("resolver_status")).dropDuplicates(["failed_id"])
     rows = rows.join(failed, rows["id"] == failed["failed_id"], "left")
     mine = F.when(F.col("status").isNull(), F.col("resolver_status"))
     return with_chain_failures(rows.withColumn("status", F.coalesce("status", mine))).select("batch_id", "index", "id", "status")
