@@ -2,7 +2,7 @@
 
 Messages (tree, node, parent, role, text, score) form trees. Self-joins double
 the distance that every node looks up its tree, so a tree of depth d takes
-log2(d) rounds and a row a node in each; they give each leaf its branch's
+log2(d) rounds, and a row a node until it has reached its root; they give each leaf its branch's
 length and score. The best branches of a tree are chosen, the same jumps taken
 backwards enumerate their nodes from leaf to root, and each chosen path becomes
 one conversation.
@@ -46,30 +46,34 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def _jumps(nodes: DataFrame) -> list[DataFrame]:
-    """The k-th: for each node its 2**k-th ancestor (null beyond the root), and length and score of the stretch below it."""
+def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Jumps and reached roots.
+
+    The k-th jump has, for each node that lies 2**k or more below its root, its 2**k-th ancestor, with length and score of
+    the stretch below that. A node that has reached its root leaves the joins; its whole path's length and score are in
+    the second result.
+    """
     parent = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n")).distinct()
     step = nodes.join(parent, nodes["tree"].eqNullSafe(parent["t"]) & (nodes["parent"] == parent["n"]), "left")
     step = cut(step.select("tree", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("length"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
-    jumps, open_ = [step], step.where("up IS NOT NULL").count()
-    while open_:
-        far = step.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("length").alias("length2"), F.col("score").alias("score2"))
-        step = step.join(far, step["tree"].eqNullSafe(far["t"]) & (step["up"] == far["n"]), "left")
-        step = cut(
-            step.select("tree", "node", F.col("up2").alias("up"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
-        )
-        jumps.append(step)
-        before, open_ = open_, step.where("up IS NOT NULL").count()
-        if open_ == before:  # what is left runs in a circle
+    rooted, below = step.where("up IS NULL"), step.where("up IS NOT NULL")
+    jumps, left = [below], below.count()
+    while left:
+        far = below.unionByName(rooted).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("length").alias("length2"), F.col("score").alias("score2"))
+        step = below.join(far, below["tree"].eqNullSafe(far["t"]) & (below["up"] == far["n"]))
+        step = cut(step.select("tree", "node", F.col("up2").alias("up"), (F.col("length") + F.col("length2")).alias("length"), (F.col("score") + F.col("score2")).alias("score")))
+        rooted, below = rooted.unionByName(step.where("up IS NULL")), step.where("up IS NOT NULL")
+        before, left = left, below.count()
+        if left == before:  # what is left runs in a circle
             break
-    return jumps
+        jumps.append(below)
+    return jumps, rooted
 
 
-def branches(nodes: DataFrame, jumps: list[DataFrame], best: int = 1) -> DataFrame:
+def branches(nodes: DataFrame, rooted: DataFrame, best: int = 1) -> DataFrame:
     """(tree, leaf, length, score) of the best branches of each tree, by mean score."""
     parents = nodes.where(F.col("parent").isNotNull()).select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
-    ends = jumps[-1].where(F.col("up").isNull())
-    leaves = ends.join(parents, ends["tree"].eqNullSafe(parents["t"]) & (ends["node"] == parents["p"]), "left_anti")
+    leaves = rooted.join(parents, rooted["tree"].eqNullSafe(parents["t"]) & (rooted["node"] == parents["p"]), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("length")), F.desc("length"), F.asc("node"))
     return leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("tree", F.col("node").alias("leaf"), "length", "score")
 
@@ -77,11 +81,11 @@ def branches(nodes: DataFrame, jumps: list[DataFrame], best: int = 1) -> DataFra
 def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """(tree, leaf, place, node): the nodes of the best root-to-leaf paths, numbered from the root."""
     nodes = messages.select("tree", "node", "parent", "score")
-    jumps = _jumps(nodes)
+    jumps, rooted = _jumps(nodes)
     # Each level reads the one before twice, so each is written.
-    found = cut(branches(nodes, jumps, best).select("tree", "leaf", F.col("length").alias("place"), F.col("leaf").alias("node")))
+    found = cut(branches(nodes, rooted, best).select("tree", "leaf", F.col("length").alias("place"), F.col("leaf").alias("node")))
     for k in reversed(range(len(jumps))):
-        up = jumps[k].where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        up = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         above = found.join(up, found["tree"].eqNullSafe(up["t"]) & (found["node"] == up["n"]))
         found = cut(found.unionByName(above.select("tree", "leaf", (F.col("place") - (1 << k)).alias("place"), F.col("up").alias("node"))))
     return found
