@@ -56,18 +56,18 @@ def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     parent = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n")).distinct()
     step = nodes.join(parent, nodes["tree"].eqNullSafe(parent["t"]) & (nodes["parent"] == parent["n"]), "left")
     step = cut(step.select("tree", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("length"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
-    rooted, below = step.where("up IS NULL"), step.where("up IS NOT NULL")
-    jumps, left = [below], below.count()
-    while left:
-        far = below.unionByName(rooted).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("length").alias("length2"), F.col("score").alias("score2"))
-        step = below.join(far, below["tree"].eqNullSafe(far["t"]) & (below["up"] == far["n"]))
-        step = cut(step.select("tree", "node", F.col("up2").alias("up"), (F.col("length") + F.col("length2")).alias("length"), (F.col("score") + F.col("score2")).alias("score")))
-        rooted, below = rooted.unionByName(step.where("up IS NULL")), step.where("up IS NOT NULL")
+    jumps, left = [], -1
+    while True:
+        below, rooted = step.where("up IS NOT NULL"), step.where("up IS NULL")
         before, left = left, below.count()
-        if left == before:  # what is left runs in a circle
-            break
+        if left in (0, before):  # none, or what is left runs in a circle
+            return jumps, rooted
         jumps.append(below)
-    return jumps, rooted
+        far = step.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("length").alias("length2"), F.col("score").alias("score2"))
+        on = below.join(far, below["tree"].eqNullSafe(far["t"]) & (below["up"] == far["n"]))
+        on = on.select("tree", "node", F.col("up2").alias("up"), (F.col("length") + F.col("length2")).alias("length"), (F.col("score") + F.col("score2")).alias("score"))
+        # Written whole at each level: a plan then reads one level, however deep the trees are.
+        step = cut(on.unionByName(rooted))
 
 
 def branches(nodes: DataFrame, rooted: DataFrame, best: int = 1) -> DataFrame:
