@@ -16,9 +16,11 @@
    families, in which all links lie; a task hands on only a node's family, not
    its pairs. A family of bounded size is compared whole, on full sets, in one
    pass over their shared shingles: this finds the one link of a text that is
-   almost, but not quite, similar enough to hundreds. A larger family takes its
-   place in the orders of BIG_TREES trees once more, now with full sets, and is
-   compared in overlapping stretches of that bounded size.
+   almost, but not quite, similar enough to hundreds. A larger family is first
+   compared by stretches of the orders of BIG_TREES trees, which joins most of
+   it; what stays apart is divided into blocks of half the bounded size, and all
+   pairs of blocks whose nodes aren't yet joined are dealt to tasks. So classes
+   within a family depend neither on its size nor on partitions.
 4. Links join into components; the smallest doc_id stands for each.
 
 A pair with similarity 0.8 shares the first min-hash of a tree with
@@ -35,7 +37,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, table
@@ -49,9 +51,9 @@ PERCENT = 80
 LEAST_AGREEING = 36
 #: Nodes that a task sorts and compares at a time, and nodes a partition of the order should have at least.
 BLOCK_NODES, LEAST_NODES = 1 << 16, 1024
-#: Families that are compared whole have at most so many nodes, and shingles in all.
+#: Families that are compared in one piece have at most so many nodes, and shingles in all; pairs of blocks of larger ones too, about.
 FAMILY_NODES, FAMILY_SHINGLES = 4096, 2_000_000
-#: Orders in which a larger family is compared by stretches.
+#: Orders in which a larger family is compared by stretches before its blocks are.
 BIG_TREES = 4
 #: Shingles of more nodes of a family than this are counted by a matrix product.
 _DENSE = 48
@@ -305,8 +307,8 @@ def classes_of(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.nd
     return nodes[spanned(place, np.concatenate(at_a), np.concatenate(at_b))]
 
 
-def _families(percent: int, by_family: bool):
-    """From sets in order, (node, root) of what links join: within each family, or in overlapping stretches of bounded size."""
+def _families(percent: int, stretch: tuple[int, int] | None = None):
+    """From sets in order, (node, root) of what links join: within each group, or in overlapping stretches of so many nodes and shingles."""
 
     def run(batches):
         now, nodes, sets, size = None, [], [], 0
@@ -319,8 +321,8 @@ def _families(percent: int, by_family: bool):
 
         for batch in batches:
             for group, node, shingles in zip(batch["group"].to_pylist(), batch["node"].to_pylist(), batch["shingles"]):
-                full = len(nodes) >= FAMILY_NODES or size >= FAMILY_SHINGLES
-                if nodes and (group != now or full and not by_family):
+                full = stretch is not None and (len(nodes) >= stretch[0] or size >= stretch[1])
+                if nodes and (group != now or full):
                     yield settle()
                     half = len(nodes) // 2 + 1 if group == now else len(nodes)
                     del nodes[:half], sets[:half]
@@ -335,16 +337,58 @@ def _families(percent: int, by_family: bool):
     return run
 
 
-def _big_family_roots(sets: DataFrame, nodes: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """(node, root) for the nodes of large families, from stretches of several orders."""
+def _block_pairs(rows: DataFrame, key: str, most: int, most_weight: int | None = None) -> DataFrame:
+    """rows (key, known, node, weight, ...) dealt out as groups (key, first block, second block).
+
+    Each two rows of a key whose known classes differ meet in at least one
+    group. A block has about `most` rows and `most_weight` weight. A known class
+    above that has blocks of its own, which don't meet each other; a key all of
+    whose rows are of one class goes.
+    """
+
+    def blocks(n, weight):
+        needed = F.ceil(F.col(n) / most)
+        return needed if most_weight is None else F.greatest(needed, F.ceil(F.col(weight) / most_weight))
+
+    classes = rows.groupBy(key, "known").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    classes = cut(classes.withColumn("blocks", blocks("n", "w")).withColumn("own", F.col("blocks") > 1))
+    small, whole = ~F.col("own"), F.when(F.col("own"), F.col("blocks")).otherwise(0)
+    keys = classes.groupBy(key).agg(
+        F.count("*").alias("classes"), F.sum(whole).alias("owned"), F.sum(F.when(small, F.col("n")).otherwise(0)).alias("rest"), F.sum(F.when(small, F.col("w")).otherwise(0)).alias("rest_w")
+    )
+    keys = keys.where("classes > 1").withColumn("mixed", blocks("rest", "rest_w")).select(key, "mixed", (F.col("mixed") + F.col("owned")).alias("total"))
+    # The few large classes of a key take the blocks after the mixed ones.
+    before = F.sum("blocks").over(Window.partitionBy(key).orderBy("known"))
+    large = classes.where("own").select(key, "known", (before - F.col("blocks")).alias("at"), "blocks")
+    places = classes.select(key, "known").join(keys, key).join(large, [key, "known"], "left")
+    lo, hi = F.coalesce(F.col("mixed") + F.col("at"), F.lit(0)), F.coalesce(F.col("mixed") + F.col("at") + F.col("blocks"), F.col("mixed"))
+    places = places.select(key, "known", "total", F.col("at").isNotNull().alias("own"), lo.alias("lo"), hi.alias("hi"))
+    placed = rows.join(places, [key, "known"]).withColumn("block", F.col("lo") + F.pmod(F.xxhash64("node"), F.col("hi") - F.col("lo")))
+    # A mixed block also meets itself, which counts where it is the only one; a class's own block meets all outside the class.
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), lambda j: F.when(F.col("own"), (j < F.col("lo")) | (j >= F.col("hi"))).otherwise((j != F.col("block")) | (F.col("total") == 1)))
+    dealt = placed.withColumn("other", F.explode(others))
+    group = F.struct(F.col(key).alias("key"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return dealt.withColumn("group", group).drop(key, "known", "weight", "total", "own", "lo", "hi", "block", "other")
+
+
+def _big_family_roots(sets: DataFrame, nodes: DataFrame, large: DataFrame, percent: int, most: tuple[int, int]) -> DataFrame:
+    """(node, root) for the nodes of large families (node, family), as all pairs of a family give them."""
     bytes_ = 4 * DEPTH
     places = nodes.join(large, "node").select("node", F.explode(F.sequence(F.lit(0), F.lit(BIG_TREES - 1))).alias("group"), "signature")
     places = places.select("node", "group", F.expr(f"substring(signature, group * {bytes_} + 1, {bytes_})").alias("prefix"))
     rows = sets.join(places, "node").select("group", "prefix", "node", "shingles")
     n = partitions(sets.sparkSession)
     dealt = rows.repartitionByRange(n, "group", "prefix", "node").sortWithinPartitions("group", "prefix", "node")
-    found = dealt.select("group", "node", "shingles").mapInArrow(_families(percent, by_family=False), "node long, root long")
-    return components(cut(found.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct()))
+
+    def links(found):
+        return cut(found.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct())
+
+    near = links(dealt.select("group", "node", "shingles").mapInArrow(_families(percent, most), "node long, root long"))
+    sizes = nodes.groupBy("node").agg(F.sum("size").alias("weight"))
+    apart = large.join(sizes, "node").join(components(near), "node", "left").select("family", F.coalesce("root", "node").alias("known"), "node", "weight")
+    pairs = _block_pairs(cut(apart), "family", max(1, most[0] // 2), max(1, most[1] // 2))
+    dealt = sets.join(pairs, "node").select("group", "node", "shingles").repartition(n, "group").sortWithinPartitions("group", "node")
+    return components(near.unionByName(links(dealt.mapInArrow(_families(percent), "node long, root long"))))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = PERCENT) -> DataFrame:
@@ -360,14 +404,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = PERCENT) ->
     texts = texts.join(members.select(F.col("node").alias("needed")), texts["doc_id"] == F.col("needed"), "left_semi")
     sets = texts.mapInArrow(_set_rows(width), "node long, shingles binary").where(F.length("shingles") > 0).dropDuplicates(["node", "shingles"])
 
-    large = members.where("NOT whole").select("node")
+    large = members.where("NOT whole").select("node", "family")
     any_large = large.limit(1).count() > 0
     sets = cut(sets) if any_large else sets
     inside = sets.join(members.where("whole").select("node", F.col("family").alias("group")), "node").select("group", "node", "shingles")
     dealt = inside.repartition(partitions(docs.sparkSession), "group").sortWithinPartitions("group", "node")
-    roots = dealt.mapInArrow(_families(percent, by_family=True), "node long, root long")
+    roots = dealt.mapInArrow(_families(percent), "node long, root long")
     if any_large:
-        roots = roots.unionByName(_big_family_roots(sets, nodes, large, percent))
+        roots = roots.unionByName(_big_family_roots(sets, nodes, large, percent, (FAMILY_NODES, FAMILY_SHINGLES)))
     roots = roots.groupBy("node").agg(F.min("root").alias("root"))
 
     classes = nodes.join(roots, "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("component_id"))

@@ -154,6 +154,31 @@ def test_near_duplicate_families(spark):
     assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {d: c for d, (_, c) in brute.near(rows).items()}
 
 
+@pytest.mark.parametrize("parts", [3, 40])
+def test_near_duplicate_large_families(spark, monkeypatch, parts):
+    """Families above FAMILY_NODES: a chain of texts that link only to the next, and copies of two texts that don't link; the same classes as all pairs give."""
+    r = random.Random(11)
+    words = [f"c{k}" for k in range(78 + 8 * 700)]
+    rows = [(n, " ".join(words[8 * n : 8 * n + 78])) for n in range(700)]
+    for start in (1000, 2000):  # halves of one large family, at similarity 0.7 to each other
+        base = [f"b{k}" for k in range(200)]
+        if start == 2000:
+            base[60:93] = [f"other{k}" for k in range(33)]
+        for n in range(45):
+            edited = list(base)
+            edited[r.randrange(100, 200)] = f"e{start + n}"
+            rows.append((start + n, " ".join(edited)))
+    r.shuffle(rows)
+    monkeypatch.setattr(op3_near, "FAMILY_NODES", 16)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        out = op3_near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {d: c for d, (_, c) in brute.near(rows).items()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(1000 + n, 1001 + n) for n in range(60)] + [(5, 5)]
