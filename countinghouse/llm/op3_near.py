@@ -10,7 +10,9 @@
    crowded regions each node also meets the region's smallest doc_id at
    several depths. The order is range partitioned, so that no region, however
    large, lies in one task; rows at the edges of partitions meet in a second,
-   small step.
+   small step. Then each region of depth 1 that is larger than WINDOW + 1 and
+   whose nodes these steps left in several families is compared whole, by
+   pairs of blocks: two nodes with a first min-hash in common always meet.
 3. Neighbours whose sizes or whole signatures rule a link out (a signature five
    standard deviations below the threshold) go. The rest join nodes into
    families, in which all links lie; a task hands on only a node's family, not
@@ -51,6 +53,8 @@ PERCENT = 80
 LEAST_AGREEING = 36
 #: Nodes that a task sorts and compares at a time, and nodes a partition of the order should have at least.
 BLOCK_NODES, LEAST_NODES = 1 << 16, 1024
+#: Nodes of a block of a crowded region.
+REGION_NODES = 8192
 #: Families that are compared in one piece have at most so many nodes, and shingles in all; pairs of blocks of larger ones too, about.
 FAMILY_NODES, FAMILY_SHINGLES = 4096, 2_000_000
 #: Orders in which a larger family is compared by stretches before its blocks are.
@@ -254,6 +258,73 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return inner.unionByName(outer).distinct()
 
 
+def _alike(known, size, mini):
+    """Pairs of known classes that rows (in order of size) join whose sizes and signatures leave a link possible."""
+    found, mini = [], np.ascontiguousarray(mini.T)
+    for lo in range(0, len(size), 256):
+        hi = min(len(size), lo + 256)
+        end = int(np.searchsorted(PERCENT * size, 100 * size[hi - 1], side="right"))
+        agreeing = np.zeros((hi - lo, end - lo), np.uint8)
+        for row in mini:
+            agreeing += row[lo:hi, None] == row[None, lo:end]
+        i, j = np.nonzero(agreeing >= LEAST_AGREEING)
+        i, j = i + lo, j + lo
+        keep = (known[i] != known[j]) & (100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j]))
+        a, b = known[i[keep]], known[j[keep]]
+        classes = np.unique(np.concatenate([a, b]))
+        root = spanned(classes, a, b)
+        found.append((root[root != classes], classes[root != classes]))
+    return found
+
+
+def _regions(batches):
+    """From rows sorted by group (region, i, j) and size: pairs (a, b) of known classes that each group joins."""
+    held = None
+
+    def groups(rows, last):
+        """(links of the groups of rows, the rows from the last group on, which may go on)"""
+        keys = np.stack([rows[c].to_numpy() for c in ("region", "i", "j")])
+        starts = np.append(0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1)
+        ends = np.append(starts[1:], rows.num_rows) if last else starts[1:]
+        known, size = rows["known"].to_numpy(), rows["size"].to_numpy()
+        mini, found = np.frombuffer(b"".join(rows["mini"].to_pylist()), np.uint8).reshape(-1, TREES * DEPTH), []
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            if (known[a:b] != known[a]).any():
+                found += _alike(known[a:b], size[a:b], mini[a:b])
+        a, b = _links(found)
+        return pa.RecordBatch.from_arrays([a, b], ["a", "b"]), rows.slice(int(starts[-1]))
+
+    for batch in batches:
+        if len(batch):
+            rows = pa.Table.from_batches([batch])
+            out, held = groups(rows if held is None else pa.concat_tables([held, rows]).combine_chunks(), last=False)
+            yield out
+    if held is not None:
+        yield groups(held, last=True)[0]
+
+
+def _crowded(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): pairs of known classes (of nodes: node, known) that nodes with a common first min-hash join, from all regions that neighbours don't compare whole."""
+    first = F.expr(f"conv(hex(substring(signature, tree * {4 * DEPTH} + 1, 4)), 16, 10)").cast("long")
+    trees = nodes.join(known, "node").select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "node", "known", "signature")
+    rows = trees.select((F.col("tree").cast("long") * F.lit(1 << 32) + first).alias("region"), "node", "known", F.lit(1).alias("weight")).distinct()
+    many = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("known").alias("least"), F.max("known").alias("most")).where((F.col("n") > WINDOW + 1) & (F.col("least") < F.col("most")))
+    pairs = _block_pairs(cut(rows.join(many.select("region"), "region")), "region", REGION_NODES)
+    mini = F.unhex(F.regexp_replace(F.hex("signature"), "......(..)", "$1")).alias("mini")
+    dealt = pairs.join(nodes.select("node", "size", mini), "node").select(F.col("group.key").alias("region"), "group.i", "group.j", "known", "size", "mini")
+    dealt = dealt.repartition(partitions(nodes.sparkSession), "region", "i", "j").sortWithinPartitions("region", "i", "j", "size")
+    return dealt.mapInArrow(_regions, "a long, b long").distinct()
+
+
+def _families_of(nodes: DataFrame) -> DataFrame:
+    """(node, family) for the nodes that candidates join, all of them."""
+    near = components(cut(candidates(nodes))).withColumnRenamed("root", "near")
+    known = cut(nodes.select("node").distinct().join(near, "node", "left").select("node", "near", F.coalesce("near", "node").alias("known")))
+    more = components(cut(_crowded(nodes, known.select("node", "known")))).select(F.col("node").alias("known"), "root")
+    both = known.join(more, "known", "left").where("near IS NOT NULL OR root IS NOT NULL")
+    return both.select("node", F.coalesce("root", "known").alias("family"))
+
+
 def _set_rows(width: int):
     def run(batches):
         for batch in batches:
@@ -368,7 +439,7 @@ def _block_pairs(rows: DataFrame, key: str, most: int, most_weight: int | None =
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), lambda j: F.when(F.col("own"), (j < F.col("lo")) | (j >= F.col("hi"))).otherwise((j != F.col("block")) | (F.col("total") == 1)))
     dealt = placed.withColumn("other", F.explode(others))
     group = F.struct(F.col(key).alias("key"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return dealt.withColumn("group", group).drop(key, "known", "weight", "total", "own", "lo", "hi", "block", "other")
+    return dealt.withColumn("group", group).drop(key, "weight", "total", "own", "lo", "hi", "block", "other")
 
 
 def _big_family_roots(sets: DataFrame, nodes: DataFrame, large: DataFrame, percent: int, most: tuple[int, int]) -> DataFrame:
@@ -396,7 +467,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = PERCENT) ->
     rows = cut(features(docs, width))
     known = rows.where(F.col("doc_id").isNotNull() & F.col("set_a").isNotNull())
     nodes = cut(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")))
-    members = components(cut(candidates(nodes))).withColumnRenamed("root", "family").join(nodes.groupBy("node").agg(F.sum("size").alias("size")), "node")
+    members = _families_of(nodes).join(nodes.groupBy("node").agg(F.sum("size").alias("size")), "node")
     sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     whole = (F.col("n") <= FAMILY_NODES) & (F.col("shingles") <= FAMILY_SHINGLES)
     members = cut(members.join(sizes.select("family", whole.alias("whole")), "family").select("node", "family", "whole"))

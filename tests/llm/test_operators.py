@@ -179,6 +179,17 @@ def test_near_duplicate_large_families(spark, monkeypatch, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("region", [2000, 8192])
+def test_near_duplicate_template(spark, monkeypatch, region):
+    """Pairs at similarity 0.81 among thousands of texts with one template, at similarity 0.34: each pair is found, nothing else."""
+    template = " ".join(f"t{k}" for k in range(32))
+    rows = [(n, " ".join([template, *(f"o{n // 2}x{k}" for k in range(22)), *(f"e{n}x{k}" for k in range(6))])) for n in range(20_000)]
+    random.Random(5).shuffle(rows)
+    monkeypatch.setattr(op3_near, "REGION_NODES", region, raising=False)
+    out = op3_near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r["doc_id"] for r in out.where("component_id <> doc_id - doc_id % 2").collect()] == []
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(1000 + n, 1001 + n) for n in range(60)] + [(5, 5)]
