@@ -1,7 +1,8 @@
 """License scans: entire texts looked up by the digest of their canonical form.
 
-The canonical form lower-cases A-Z, drops copyright lines, writes equivalent
-spellings one way and turns every run of other characters than letters and
+The canonical form lower-cases A-Z, drops lines that state a copyright (but not
+licence wording that a line break puts in their form, like `copyright notice
+and this permission notice`), writes equivalent spellings one way and turns every run of other characters than letters and
 digits into one space. Its SHA-256 is joined to the digests of the known
 licences: whole documents, and each of their lines as an entire notice.
 
@@ -31,12 +32,16 @@ SPELLINGS = (
     ("authorisation", "authorization"), ("modifications are permitted", "modification are permitted"), ("https://", "http://"), ("&", " and "),
 )
 _COPYRIGHT = r"(?m)^[ \t]*(?:[/*#;-]+[ \t]*)?(?:copyright|\(c\)|\x{A9}|all rights reserved)[^\n]*$"
+#: Words after `copyright` that make it licence wording; a colon makes it a statement again (`copyright holder: ...`).
+_WORDING = "notices?|holders?|owners?|laws?|licen[cs]e[sd]?|interests?|statements?|disclaimers?|permissions?|protection|resulting|treat(?:y|ies)|rights?|acts?|and|or|in|to|of|on|for|is|are|as|under"
+#: _COPYRIGHT without that wording. The SQL keeps _COPYRIGHT, as its engine has no lookahead, and differs on documents with such lines.
+_STATEMENT = _COPYRIGHT.replace("copyright|", rf"copyright(?![a-z]|[ \t]*$|[ \t]+(?:{_WORDING})\b(?![ \t]*:))|")
 _OTHERS = r"[^a-z0-9\x{80}-\x{10FFFF}\n]+"
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form, still divided into lines."""
-    out = F.regexp_replace(lower_ascii(text), _COPYRIGHT, "")
+    out = F.regexp_replace(lower_ascii(text), _STATEMENT, "")
     for spelling, one in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(one))
     return F.regexp_replace(out, _OTHERS, " ")

@@ -1,6 +1,7 @@
 """Each operator against brute force, on awkward rows and on a small table."""
 
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import brute
@@ -340,6 +341,30 @@ def test_licences(spark, docs, empty):
         assert {r[0] for r in op7_licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("license_id").collect()} == {name}
 
 
+def test_wrapped_licences(spark):
+    """Licences as they are published, in lines of any width; statements of a copyright don't count."""
+    isc = """ISC License
+
+Copyright 2020 Someone
+Copyright Someone, Inc. and other contributors.
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+""" + dict(TEXTS)["ISC"].split("\n\n")[-1]
+    wanted = ["ISC"]
+    texts = [isc]
+    for name, text in TEXTS:
+        for width in range(24, 100):
+            paragraphs = [textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n")]
+            texts.append("\n\n".join(paragraphs))
+            wanted.append(name)
+    out = op7_licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = {r["doc_id"]: r["license_id"] for r in out.collect()}
+    assert [(n, found[n], name) for n, name in enumerate(wanted) if found[n] != name] == []
+
+
 # --- 8
 
 
