@@ -1,42 +1,59 @@
 """Quality classifier: positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are training-fold documents that labels mark as quality 1;
-the unlabelled set is a sample of all documents outside the held-out fold,
-whatever their labels. A linear score of text statistics minimises
+Trusted positives are training-fold documents that labels mark as quality 1 (at
+most POSITIVES of them, those with the smallest hashes of their ids); all rows
+outside the held-out fold, labelled or not, are the unlabelled set. Labels of
+quality 0 are never read. A linear score of text statistics minimises
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
-with the logistic loss; while the second term is below zero, the step undoes it
-instead of fitting noise. The class prior is estimated as the share of
-quality 1 among the training fold's labels.
-
-The model is fitted on a bounded sample (SAMPLE positives and as many unlabelled
-documents, those with the smallest hashes of their ids); every document is
-scored, over its whole text, where it is read: scoring shuffles nothing.
+with the logistic loss and a ridge, by Newton steps whose sums Spark adds up
+over all rows. Where the minimum has a second term below zero, the score fits
+noise; the ridge is then doubled until the term isn't negative, which is the
+non-negative correction: max(0, ...) holds with the term itself.
+
+The class prior is estimated from positives and unlabelled rows alone: a first
+model learns from three quarters of the positives; with the others, which it
+didn't see, the prior is the least ratio, over all thresholds, of the share of
+unlabelled rows above a threshold to the share of positives above it, where a
+confidence term keeps out thresholds with few rows (best-bin estimation).
+
+Statistics are computed once a document and written; each Newton step reads
+them, and a task hands on sums, whose number depends on the statistics only.
+They are added as whole multiples of 1 / UNIT, so the order in which tasks end
+changes nothing. Nothing but sums reaches the driver; the positives' ids (at
+most POSITIVES) are broadcast.
 
 The held-out fold, crc32(doc_id as text) mod 4 = 2, gives nothing to the model.
 Labels, lang, source and doc_id are never inputs of a score.
 
 Defined results: a null or empty text is scored from zero statistics; a null id
-is scored like any other (held_out false) but never learned from; several
-labels of one document count as 1 only if all are 1; without any positive or
-unlabelled document every score is 0.5; extra columns are ignored; an empty
-table gives no rows.
+is scored like any other (held_out false) but never learned from; a document is
+positive if any of its labels is 1; rows that repeat a doc_id count each;
+without any positive or unlabelled row every score is 0.5; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 from .words import Hasher, spaced_table, text_chunks, word_spans
 
-#: Most positives, and most unlabelled documents, that the model is fitted on.
-SAMPLE = 8000
+#: Most labelled documents that the model takes as positives.
+POSITIVES = 20_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
-STEPS, RATE, WEIGHT_DECAY = 400, 0.05, 1e-3
+#: Newton steps, halvings of a step, the change of the risk that ends the fit, the least ridge and how often it may be doubled.
+STEPS, HALVINGS, TOLERANCE, RIDGE, DOUBLINGS = 25, 8, 1e-6, 0.1, 12
+#: Sums are multiples of 1 / UNIT; tasks that add up the sums of other tasks.
+UNIT, ADDERS = 1 << 20, 16
+#: The prior that the first model assumes, cells of its scores, and the confidence of the estimate.
+FIRST_PRIOR, CELLS, DELTA, GAMMA = 0.5, 2000, 0.1, 0.01
 _PUNCTUATION = b".,;:!?#*$%&|<>=+-_/\\()[]{}\"'@~"
 
 
@@ -92,76 +109,192 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Model:
-    """Standardised statistics, weights and intercept."""
+    """Standardised statistics, weights and intercept, and the class prior that they were fitted with."""
 
-    def __init__(self, centre, scale, weights, intercept):
-        self.centre, self.scale, self.weights, self.intercept = centre, scale, weights, intercept
+    def __init__(self, centre, scale, weights, intercept, prior=0.5):
+        self.centre, self.scale, self.weights, self.intercept, self.prior = centre, scale, weights, intercept, prior
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.centre) / self.scale, -8, 8)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.centre) / self.scale, -8, 8) @ self.weights + self.intercept
+        z = self.inputs(x) @ self.weights + self.intercept
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE) -> Model:
-    """Adam on the non-negative PU risk with the logistic loss."""
-    width = positive.shape[1] if positive.size else unlabelled.shape[1]
-    if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    centre, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p, u = (np.hstack([np.clip((x - centre) / scale, -8, 8), np.ones((len(x), 1))]) for x in (positive, unlabelled))
-    w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    loss = lambda z: np.logaddexp(0, -z)
-    for step in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        as_negative = loss(-zu).mean() - prior * loss(-zp).mean()
-        d_negative = u.T @ sigmoid(zu) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
-        d_positive = -prior * (p.T @ sigmoid(-zp)) / len(p)
-        gradient = d_positive + d_negative if as_negative >= 0 else -d_negative
-        gradient = gradient + WEIGHT_DECAY * np.append(w[:-1], 0)
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(centre, scale, w[:-1], float(w[-1]))
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of a labelled corpus; docs gives the unlabelled documents and all texts."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
-    marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality"))
-    marks = marks.where(F.col("id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.min("quality").alias("quality"))
-    shares = marks.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    prior = min(0.98, max(0.02, shares if shares is not None else 0.5))
-    order = [F.xxhash64(F.lit(7), "id"), F.col("id")]
-    positive = marks.where("quality = 1").orderBy(*order).limit(sample).select("id", F.lit(1).alias("positive"))
-    unlabelled = ids.distinct().orderBy(*order).limit(sample).select("id", F.lit(0).alias("positive"))
-    chosen = positive.union(unlabelled).groupBy("id").agg(F.max("positive").alias("positive"), F.min("positive").alias("unlabelled"))
+def _matrix(column) -> np.ndarray:
+    """The statistics in a binary column, a row each."""
+    rows = len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + rows + 1]
+    return np.frombuffer(column.buffers()[2], np.float32)[offsets[0] // 4 : offsets[-1] // 4].reshape(rows, -1)
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out and x (the statistics as bytes) of each row, written once."""
 
     def run(batches):
         for batch in batches:
             x = statistics(batch["text"])
-            blobs = pa.array([row.tobytes() for row in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["positive"], batch["unlabelled"], blobs], ["positive", "unlabelled", "x"])
+            width = x.shape[1] * 4
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x.data.cast("B")[i : i + width] for i in range(0, x.size * 4, width)], pa.binary())], ["doc_id", "x"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return cut(rows.mapInArrow(run, "doc_id long, x binary").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "x"))
+
+
+def _added(rows: DataFrame, run) -> np.ndarray | None:
+    """The sum over all batches (x, part) of the matrices that run gives, all of one shape; None if there is no row."""
+
+    def task(batches):
+        total = None
+        for batch in batches:
+            if len(batch):
+                m = np.rint(run(_matrix(batch["x"]), batch["part"].to_numpy()) * UNIT).astype(np.int64)
+                total = m if total is None else total + m
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([len(total)], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["height", "sums"])
+
+    def add(batches):
+        height, total = 0, 0
+        for batch in batches:
+            for height, blob in zip(batch["height"].to_pylist(), batch["sums"].to_pylist()):  # noqa: B007
+                total = total + np.frombuffer(blob, np.int64)
+        if height:
+            yield pa.RecordBatch.from_arrays([pa.array([height], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["height", "sums"])
+
+    kind = "height int, sums binary"
+    parts = rows.mapInArrow(task, kind).repartition(ADDERS).mapInArrow(add, kind).collect()  # ADDERS rows at most
+    return sum(np.frombuffer(r["sums"], np.int64) for r in parts).reshape(parts[0]["height"], -1) / UNIT if parts else None
+
+
+def softplus(z: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, z)
+
+
+def risk_sums(z: np.ndarray, x: np.ndarray, part: np.ndarray, fitted: int) -> np.ndarray:
+    """What the risk, its gradient and its curvature need from some rows.
+
+    x has a last column of ones, z = x @ w; rows with part in 1..fitted are positives, and all rows are unlabelled. The
+    rows of the result: the curvature of R_u(-), the gradients of R_u(-), R_p(-) and R_p(+), and the losses and counts,
+    each as a sum.
+    """
+    positive = (part > 0) & (part <= fitted)
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    xp, zp, sp = x[positive], z[positive], s[positive]
+    last = np.zeros(x.shape[1])
+    last[:5] = softplus(z).sum(), softplus(zp).sum(), softplus(-zp).sum(), len(z), len(zp)
+    return np.vstack([(x * (s * (1 - s))[:, None]).T @ x, x.T @ s, xp.T @ sp, xp.T @ (sp - 1), last])
+
+
+def risk(sums: np.ndarray, w: np.ndarray, prior: float, ridge: float):
+    """(unbiased risk, its second term, gradient, curvature) from added risk_sums, with the ridge on all but the intercept."""
+    d = len(w)
+    u, p = max(sums[-1, 3], 1), max(sums[-1, 4], 1)
+    losses = sums[-1, 0] / u, sums[-1, 1] / p, sums[-1, 2] / p
+    second = losses[0] - prior * losses[1]
+    weight = ridge * np.append(np.ones(d - 1), 0)
+    gradient = sums[d] / u - prior * sums[d + 1] / p + prior * sums[d + 2] / p + weight * w
+    # With the logistic loss R_p(+) - R_p(-) is linear, so that only R_u(-) and the ridge curve: the risk is convex.
+    curvature = sums[:d] / u + np.diag(weight + 1e-9)
+    return prior * losses[2] + second + (weight * w * w).sum() / 2, second, gradient, curvature
+
+
+def fit(added, width: int, prior: float, start: np.ndarray | None = None, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    """The weights (intercept last) that minimise the non-negative risk, and the ridge they took; added(w) gives the risk_sums of all rows."""
+    w = np.zeros(width + 1) if start is None else start
+    sums = added(w)
+    for _ in range(DOUBLINGS + 1):
+        value, second, gradient, curvature = risk(sums, w, prior, ridge)
+        for _ in range(STEPS):
+            step = np.linalg.solve(curvature, gradient)
+            for _ in range(HALVINGS):
+                tried = added(w - step)
+                new = risk(tried, w - step, prior, ridge)
+                if new[0] <= value:
+                    break
+                step = step / 2
+            else:
+                break
+            gain = value - new[0]
+            w, sums, (value, second, gradient, curvature) = w - step, tried, new
+            if gain <= TOLERANCE:
+                break
+        if second >= 0:
+            break
+        ridge *= 2
+    return w, ridge
+
+
+def least_ratio(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior from counts of held-back positives and unlabelled rows by score, in ascending order of score."""
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    if not n_p or not n_u:
+        return 0.5
+    above_p, above_u = (np.cumsum(c[::-1])[::-1] / n for c, n in ((positive, n_p), (unlabelled, n_u)))
+    has = above_p > 0
+    above_p, above_u = above_p[has], above_u[has]
+    doubt = (1 + GAMMA) * (math.sqrt(math.log(4 / DELTA) / (2 * n_u)) + math.sqrt(math.log(4 / DELTA) / (2 * n_p)))
+    best = np.argmin((above_u + doubt) / above_p)
+    return float(min(0.98, max(0.02, above_u[best] / above_p[best])))
+
+
+def train_on(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> Model:
+    """The model of a labelled corpus whose features rows are."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality"))
+    marks = marks.where((F.col("quality") == 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).select("id").distinct()
+    # At most `positives` ids are broadcast. Part 1 to 3 teaches both models, part 4 the second only.
+    chosen = marks.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(positives).select("id", (F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(4)) + 1).cast("int").alias("part"))
+    known = rows.where(F.col("doc_id").isNotNull() & ~F.col("held_out"))
+    known = known.join(F.broadcast(chosen), known["doc_id"] == chosen["id"], "left").select("x", F.coalesce("part", F.lit(0)).alias("part"))
+    width = statistics(pa.array([""])).shape[1]
+
+    def moments(x, part):
+        x = x.astype(float)
+        return np.vstack([x.sum(axis=0), (x * x).sum(axis=0), np.append([len(x), (part > 0).sum(), (part == 4).sum()], np.zeros(width - 3))])
+
+    sums = _added(known, moments)
+    if sums is None or not sums[2, 1]:
+        return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
+    centre = sums[0] / sums[2, 0]
+    model = Model(centre, np.sqrt(np.maximum(sums[1] / sums[2, 0] - centre**2, 0)) + 1e-3, np.zeros(width), 0.0)
+
+    def adder(fitted: int):
+        def added(w):
+            def run(x, part):
+                x = np.hstack([model.inputs(x), np.ones((len(x), 1))])
+                return risk_sums(x @ w, x, part, fitted)
+
+            return _added(known, run)
+
+        return added
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    # At most 2 * SAMPLE ids are broadcast.
-    rows = texts.join(F.broadcast(chosen), "id").select("positive", "unlabelled", "text").mapInArrow(run, "positive int, unlabelled int, x binary").collect()
-    is_positive, is_unlabelled = (np.array([r[k] for r in rows], int) for k in ("positive", "unlabelled"))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else statistics(pa.array([], pa.string()))
-    return fit(x[is_positive == 1], x[is_unlabelled == 0], prior)
+    prior, first, ridge = 0.5, None, RIDGE
+    if 0 < sums[2, 2] < sums[2, 1]:
+        first, ridge = fit(adder(3), width, FIRST_PRIOR)
 
+        def by_score(x, part):
+            cell = np.minimum((CELLS / (1 + np.exp(-np.clip(model.inputs(x) @ first[:-1] + first[-1], -30, 30)))).astype(int), CELLS - 1)
+            return np.vstack([np.bincount(cell[part == 4], minlength=CELLS), np.bincount(cell, minlength=CELLS)])
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, held_out, score and predicted."""
+        prior = least_ratio(*_added(known, by_score))
+    w, _ = fit(adder(4), width, prior, first, ridge)
+    return Model(model.centre, model.scale, w[:-1], float(w[-1]), prior)
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> Model:
+    """The model of a labelled corpus; docs gives the unlabelled documents and all texts."""
+    return train_on(features(docs), labels, positives)
+
+
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """Per row of features: doc_id, held_out, score and predicted."""
 
     def run(batches):
         for batch in batches:
-            scores = model.scores(statistics(batch["text"]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64())], ["doc_id", "score"])
+            scores = model.scores(_matrix(batch["x"])) if len(batch) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def drop_rejected(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -175,5 +308,5 @@ def drop_rejected(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+    rows = features(table(spark, sf_dir, "documents"))
+    return score(rows, train_on(rows, table(spark, sf_dir, "labels")))
