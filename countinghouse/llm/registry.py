@@ -30,6 +30,7 @@ def oracle_sql() -> dict:
         "rule_ablation": op1_rules.ABLATION_ORACLE,
         "op3_near": op3_near.ORACLE,
         "op4_replies": op4_replies.ORACLE,
+        "op5_urls": op5_urls.ORACLE,
         "op6_decontaminate": op6_decontaminate.ORACLE,
         "op7_licences": op7_licences.ORACLE,
         "op8_mixing": op8_mixing.ORACLE,
