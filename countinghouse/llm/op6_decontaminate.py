@@ -8,9 +8,11 @@ themselves confirms an occurrence. Cursors over stretches of all documents of a
 chunk move together, so that each step is a few numpy operations.
 
 Documents are scanned where they are read: nothing is shuffled. The patterns go
-to the executors in blocks of at most BLOCK_CHARS characters of item text, a
-bound that is checked; with more than one block the documents' hit marks are
-carried from block to block.
+to the executors in blocks: Spark numbers the benchmark's text by running size,
+so that a block has at most BLOCK_CHARS characters; an item that is longer is
+cut into pieces that overlap by a window less a word, which have the same
+windows. One block at a time is on the driver. With more than one block the
+documents' hit marks are carried from block to block with the whole row.
 
 Defined results: a null or empty text has no words, no hits, and isn't
 contaminated; an item without words has no window; an item whose item_id is
@@ -26,10 +28,10 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, lower_ascii, table
 from .words import Hasher, alnum_table, lower_table, text_chunks, word_spans
 
 WINDOW = 13
@@ -121,7 +123,7 @@ def _lowered(text: str) -> bytes:
 
 
 def patterns_of(items, window: int = WINDOW) -> list[Patterns]:
-    """Search tables for (item_id, text) rows."""
+    """Search tables for rows (item, text); a text of fewer words than a window is one window."""
     hasher, by_length = Hasher(), defaultdict(lambda: defaultdict(set))
     for item, text in items:
         data = _lowered(text or "")
@@ -154,7 +156,7 @@ def scan(column, groups: list[Patterns], hasher: Hasher):
 
 
 def _digest(n_words, n_hit, items):
-    names = sorted(map(str, items))
+    names = sorted(items)
     return n_words, n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words
 
 
@@ -178,53 +180,85 @@ def _batches(groups, emit):
     return run
 
 
-def blocks_of(benchmark: DataFrame, block_chars: int) -> list[list]:
-    """The items in blocks whose text is of bounded size: one if all fit."""
-    items = benchmark.select("item_id", "text").where(F.length("text") > 0)
-    total = items.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
-    n = -(-(total[0] or 0) // block_chars) or 1
-    if n == 1:
-        return [items.collect()]
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n)))
-    return [dealt.where(F.col("block") == b).drop("block").collect() for b in range(2 * n)]
+def pieces_of(benchmark: DataFrame, window: int, block_chars: int) -> DataFrame:
+    """(item, text): the items' words joined by spaces, in pieces of a 64th of a block (but not of less than two windows) that have all their windows, each piece once."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = benchmark.select(F.col("item_id").cast("string").alias("item"), F.regexp_extract_all(lower_ascii(text), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    # So many window starts a piece that it has at most block_chars / 64 characters, by its item's longest word: at least a window's worth, so that overlaps at most double the text.
+    longest = F.array_max(F.transform("w", lambda x: F.length(x))) + 1
+    step = F.greatest(F.lit(window), F.floor(F.lit(block_chars / 64) / longest) - window).cast("int")
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)), step))
+    return words.select("item", "w", step.alias("step"), at.alias("at")).select("item", F.array_join(F.slice("w", F.col("at"), F.col("step") + window - 1), " ").alias("text")).distinct()
+
+
+def blocks_of(benchmark: DataFrame, window: int, block_chars: int):
+    """The patterns in blocks of at most block_chars characters (one that is a single piece may have more): (how many, one's rows by its number)."""
+    pieces = pieces_of(benchmark, window, block_chars)
+    total = pieces.agg(F.sum(F.length("text"))).first()[0] or 0
+    if total <= block_chars:
+        return 1, lambda b: pieces.collect()
+    # Chunks of pieces, each below half of a block, are numbered by running size: a row a chunk.
+    chunks, half = -(-16 * total // block_chars), block_chars // 2
+    while True:
+        dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("item", "text"), F.lit(chunks)))
+        sizes = cut(dealt.groupBy("chunk").agg(F.sum(F.length("text")).alias("size"), F.max(F.length("text")).alias("longest")))
+        if not sizes.where((F.col("size") > half) & (F.col("longest") < F.col("size"))).limit(1).count():
+            break
+        chunks *= 2
+    so_far = F.sum("size").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = cut(sizes.withColumn("block", F.floor(F.coalesce(so_far, F.lit(0)) / F.lit(half))).select("chunk", "block"))
+    blocks = [r["block"] for r in numbered.select("block").distinct().orderBy("block").collect()]
+    dealt = cut(dealt.join(numbered, "chunk").select("block", "item", "text"))
+    return len(blocks), lambda b: dealt.where(F.col("block") == blocks[b]).drop("block").collect()
+
+
+def _free(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have yet."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int):
+    """docs with the marks and items that all blocks but the last give (null if there is one block), these columns' names, and the last one's patterns."""
+    n, rows_of = blocks_of(benchmark, window, block_chars)
+    marks, items = _free("marks", docs), _free("items", docs)
+    rows, names = docs.withColumns({marks: F.lit(None).cast("binary"), items: F.lit(None).cast("array<string>")}), docs.columns
+
+    def emit(batch, results):
+        out = [(np.packbits(m).tobytes(), sorted(k)) for m, k in results(batch["text"], (batch[marks].to_pylist(), batch[items].to_pylist()))]
+        columns = [batch[c] for c in names] + [pa.array([m for m, _ in out], pa.binary()), pa.array([k for _, k in out], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, [*names, marks, items])
+
+    for b in range(n - 1):
+        rows = cut(rows.mapInArrow(_batches(patterns_of(rows_of(b), window), emit), rows.schema))
+    return rows, marks, items, patterns_of(rows_of(n - 1), window)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: doc_id and the digest columns of SCHEMA."""
-    blocks = [patterns_of(b, window) for b in blocks_of(benchmark, block_chars)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, marks, items, groups = _marked(rows, benchmark, window, block_chars)
 
     def last(batch, results):
-        before = (batch["marks"].to_pylist(), batch["items"].to_pylist()) if "marks" in batch.schema.names else None
-        out = [_digest(len(m), int(m.sum()), k) for m, k in results(batch["text"], before)]
+        out = [_digest(len(m), int(m.sum()), k) for m, k in results(batch["text"], (batch[marks].to_pylist(), batch[items].to_pylist()))]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
         columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
         return pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    def carry(batch, results):
-        before = (batch["marks"].to_pylist(), batch["items"].to_pylist())
-        out = [(np.packbits(m).tobytes(), sorted(k)) for m, k in results(batch["text"], before)]
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array([m for m, _ in out], pa.binary()), pa.array([k for _, k in out], pa.list_(pa.int64()))], ["doc_id", "text", "marks", "items"])
-
-    for groups in blocks[:-1]:
-        if "marks" not in rows.columns:
-            rows = rows.withColumns({"marks": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<long>")})
-        rows = cut(rows.mapInArrow(_batches(groups, carry), "doc_id long, text string, marks binary, items array<long>"))
-    return rows.mapInArrow(_batches(blocks[-1], last), SCHEMA)
+    return rows.mapInArrow(_batches(groups, last), SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs without the rows that are contaminated; all columns stay as they are."""
-    blocks = [patterns_of(b, window) for b in blocks_of(benchmark, block_chars)]
-    if len(blocks) > 1:
-        marked = contamination(docs, benchmark, window, block_chars).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(marked, docs["doc_id"] == marked["_bad"], "left_anti")
+    """docs without the rows that are contaminated, each row judged by itself; all columns stay as they are."""
+    names = docs.columns
+    rows, marks, items, groups = _marked(docs, benchmark, window, block_chars)
 
     def clean(batch, results):
-        keep = [not _digest(len(m), int(m.sum()), ())[-1] for m, _ in results(batch["text"])]
-        return batch.filter(pa.array(keep, pa.bool_()))
+        keep = [not _digest(len(m), int(m.sum()), ())[-1] for m, _ in results(batch["text"], (batch[marks].to_pylist(), batch[items].to_pylist()))]
+        return batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(_batches(blocks[0], clean), docs.schema)
+    return rows.mapInArrow(_batches(groups, clean), docs.schema)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
