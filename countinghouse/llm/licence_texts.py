@@ -1,7 +1,8 @@
 """Known licence texts and notices, by SPDX identifier.
 
-Fixed values: the published wording of each licence, without its copyright
-line. Callers may pass a catalogue of their own.
+Fixed values: the published wording of short licences, without their copyright
+line, and for long ones the SHA-256 of the canonical form (`op7_licences`) of
+the published text. Callers may pass a catalogue of their own.
 """
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
@@ -26,6 +27,24 @@ _0BSD_BODY = f"Permission to use, copy, modify, and/or distribute this software
 _BSD2_BODY = f"{_BSD_CONDITIONS}\n\n{_BSD_WARRANTY}"
 _BSD3_BODY = f"{_BSD_CONDITIONS}\n\n{_BSD_NAMES}\n\n{_BSD_WARRANTY}"
 
+_ZLIB_BODY = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
 #: (SPDX identifier, text): entire licences, with and without their titles.
 TEXTS = (
     ("MIT", _MIT_BODY),
@@ -40,6 +59,33 @@ TEXTS = (
     ("BSD-2-Clause", f"BSD 2-Clause License\n\n{_BSD2_BODY}"),
     ("BSD-3-Clause", _BSD3_BODY),
     ("BSD-3-Clause", f"BSD 3-Clause License\n\n{_BSD3_BODY}"),
+    ("Zlib", _ZLIB_BODY),
+    ("Zlib", f"zlib License\n\n{_ZLIB_BODY}"),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", f"{_UNLICENSE}\n\nFor more information, please refer to <https://unlicense.org/>"),
+)
+
+#: (SPDX identifier, digest): the published texts as they are distributed; where a second one follows, the terms without the appendix.
+DIGESTS = (
+    ("Apache-2.0", "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0"),
+    ("Apache-2.0", "9446b99128ec9c3946adbb681853599f3a5f01a69d6c0762a9d0ab699868d801"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3-only", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0-only", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0-only", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0-only", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0-only", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0-only", "a8f5f57987978c40bffaeb8e6d4038685ceb8cd8489885e1324855efca5380ac"),
+    ("LGPL-2.0-only", "d222a36a2b1ccf8a658f07530f9112e21af962df04221a899ad6bb4c64f7c9c4"),
+    ("LGPL-2.1-only", "873c6426ea80f22a07042cfb8b3158aa05552910ef41064587e403e155d897e9"),
+    ("LGPL-2.1-only", "21ab10a618f74a48ffcb6704df5fe40782e7250fc3d8d57a7463f7a1f69fe4d3"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
 )
 
 #: (SPDX identifier, text): notices of one line.
