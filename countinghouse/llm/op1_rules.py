@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 SPACES = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -116,6 +116,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measure(docs, id_col, text_col).withColumn("fail_bits", failed)
 
 
+def stored(entries: DataFrame) -> DataFrame:
+    """The ledger, written to the shared folder: policies, comparisons and ablations read it and never the texts."""
+    return cut(entries)
+
+
 def rejected_by(policy: str) -> Column:
     """Whether a policy rejects a ledger row."""
     return F.col("fail_bits").bitwiseAND(F.lit(bits(POLICIES[policy]))) != 0
@@ -148,7 +153,12 @@ def op1_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def rule_ablation(spark, sf_dir: str) -> DataFrame:
-    return ablation(ledger(table(spark, sf_dir, "documents")))
+    """What each rule of each policy rejects, all read from one stored ledger."""
+    entries = stored(ledger(table(spark, sf_dir, "documents")))
+    first, *others = [ablation(entries, p) for p in POLICIES]
+    for other in others:
+        first = first.unionByName(other)
+    return first
 
 
 _MEASURED = r"""
@@ -178,7 +188,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 ABLATION_ORACLE = _MEASURED + " UNION ALL ".join(
-    f"SELECT '{CURRENT}' AS policy, '{n}' AS rule, count(*) FILTER (WHERE (fail_bits & {bits([n])}) <> 0) AS n_failed, "
-    f"count(*) FILTER (WHERE (fail_bits & {bits(POLICIES[CURRENT])}) = {bits([n])}) AS n_only, count(*) FILTER (WHERE (fail_bits & {bits(POLICIES[CURRENT])}) <> 0) AS n_rejected FROM l"
-    for n in POLICIES[CURRENT]
+    f"SELECT '{p}' AS policy, '{n}' AS rule, count(*) FILTER (WHERE (fail_bits & {bits([n])}) <> 0) AS n_failed, "
+    f"count(*) FILTER (WHERE (fail_bits & {bits(names)}) = {bits([n])}) AS n_only, count(*) FILTER (WHERE (fail_bits & {bits(names)}) <> 0) AS n_rejected FROM l"
+    for p, names in POLICIES.items()
+    for n in names
 )
