@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from countinghouse.llm import op2_quality, op3_near, op6_decontaminate, op8_mixing, op10_lines
-from countinghouse.llm.common import checkpoint_folder, table
+from countinghouse.llm.common import checkpoint_folder, remove, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +43,15 @@ STAGES = [("quality", quality), ("lines", lines), ("near", near), ("decontaminat
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents; what each returns is written to the shared folder and read from there."""
+    """The stages in order over documents; what each returns is written to the shared folder and read from there, and removed once the next one is written."""
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
