@@ -2,10 +2,16 @@
 
 The tokens of each (source, language, topic) cell get a weight. Raking scales
 the weights to the target share of each source, then of each language, then of
-each topic, SWEEPS times over; a document is then drawn with its cell's weight
-divided by the largest weight, so that the expected token shares of the sample
-are the targets that raking reached. The draw is a hash of the document's id:
-the same on every run and for every copy of a row.
+each topic, until every value's share is within DISTANCE of its target (or
+SWEEPS rounds are over, where targets contradict each other or the cells); the
+distance reached is returned with the cells. A document is then drawn with its
+cell's weight divided by the largest weight, so that the expected token shares
+of the sample are the targets that raking reached. The draw is a hash of the
+document's id: the same on every run and for every copy of a row.
+
+Topics are a column or expression of the caller's; by default a document's
+topic is its form, told by measured shares: table, symbols, capitals, list,
+note or prose.
 
 Targets are shares by value; where none are given, the actual share to the
 power of TEMPERATURE, which lifts small sources, languages and topics.
@@ -30,29 +36,48 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 MARGINS = ("source", "lang", "topic")
-SWEEPS, TEMPERATURE, SEED = 12, 0.9, "mix-1"
+#: Rounds at most, rounds between two looks at the distance, and the largest difference of a share from its target that counts as met.
+SWEEPS, LOOK, DISTANCE = 200, 4, 1e-11
+TEMPERATURE, SEED = 0.9, "mix-1"
+#: Decimal places of weights and probabilities.
+PLACES = 6
 #: Most cells that are raked in one partition and broadcast.
 CELLS = 100_000
-#: The topic of a text is the first of these whose mark it contains.
-TOPICS = (("table", " | "), ("licence", "icense"), ("contact", "@"), ("assignment", " = "))
-OTHER_TOPIC = "prose"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SMALL = "abcdefghijklmnopqrstuvwxyz"
+#: (form, test on words, lines, pipes, symbols, capitals and small letters): the first that holds is the topic.
+FORMS = (
+    ("table", "4 * pipes > words"), ("symbols", "3 * symbols > words"), ("capitals", "capitals > small AND capitals >= 20"),
+    ("note", "words < 50"), ("list", "words < 10 * lines"),
+)
+OTHER_FORM = "prose"
 
 
-def topic(text: Column) -> Column:
-    out = F.lit(OTHER_TOPIC)
-    for name, mark in reversed(TOPICS):
-        out = F.when(F.contains(text, F.lit(mark)), name).otherwise(out)
-    return out
+def _count(text: Column, chars: str) -> Column:
+    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+
+
+def with_form(rows: DataFrame) -> DataFrame:
+    """rows (t: text, words) with topic: the form of the text."""
+    t = F.col("t")
+    counts = {"lines": _count(t, "\n") + 1, "pipes": _count(t, "|"), "symbols": _count(t, "#*$%&<>="), "capitals": _count(t, CAPITALS), "small": _count(t, SMALL)}
+    topic = F.lit(OTHER_FORM)
+    for name, test in reversed(FORMS):
+        topic = F.when(F.expr(test), name).otherwise(topic)
+    return rows.withColumns(counts).withColumn("topic", topic).drop(*counts)
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic and n_tokens of each row."""
+def described(docs: DataFrame, topic: Column | None = None) -> DataFrame:
+    """doc_id, source, lang, topic (its form, or the caller's expression) and n_tokens of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", topic(text).alias("topic"), tokens(text).alias("n_tokens"))
+    own = [] if topic is None else [topic.cast("string").alias("topic")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", text.alias("t"), tokens(text).alias("words"), *own)
+    rows = with_form(rows) if topic is None else rows
+    return rows.select("doc_id", "source", "lang", "topic", F.col("words").alias("n_tokens"))
 
 
 def _targets(cells: DataFrame, margin: str, given: dict | None, temperature: float) -> DataFrame:
@@ -70,22 +95,35 @@ def _targets(cells: DataFrame, margin: str, given: dict | None, temperature: flo
     return cells.join(goals, cells[margin].eqNullSafe(goals["value"])).drop("value")
 
 
+def _distance(cells: DataFrame, margins) -> float:
+    """The largest difference of a value's share of the mass from its goal, over all margins."""
+    out = 0.0
+    for m in margins:
+        got = cells.groupBy(m).agg(F.sum(F.col("weight") * F.col("mass")).alias("got"), F.max(f"goal_{m}").alias("goal"))
+        out = max(out, got.agg(F.max(F.abs(F.col("got") - F.col("goal")))).first()[0] or 0.0)
+    return out
+
+
 def rake(cells: DataFrame, margins=MARGINS, targets: dict | None = None, temperature: float = TEMPERATURE, sweeps: int = SWEEPS) -> DataFrame:
-    """cells (the margins and mass) with a weight each: weight * mass sums to the target shares of every margin, as far as sweeps reach."""
-    cells = cells.withColumn("mass", F.col("mass").cast("double"))
+    """cells (the margins and mass) with a weight each: weight * mass sums to the target shares of every margin, but for `distance`."""
+    # Written before anything else, so that the texts behind them are read once.
+    cells = cut(cells.withColumn("mass", F.col("mass").cast("double")))
+    few = cells.count() <= CELLS
     for m in margins:
         cells = _targets(cells, m, (targets or {}).get(m), temperature)
-    cells = cut(cells.withColumn("weight", F.lit(1.0)))
-    if cells.count() <= CELLS:
-        cells = cells.coalesce(1)
-    for sweep in range(sweeps):
+    cells, distance = cells.withColumn("weight", F.lit(1.0)), float("inf")
+    cells = cells.coalesce(1) if few else cells
+    for sweep in range(1, sweeps + 1):
         for m in margins:
             total = F.sum(F.col("weight") * F.col("mass")).over(Window.partitionBy(m))
             cells = cells.withColumn("total", total)
             cells = cells.withColumn("weight", F.when(F.col("total") > 0, F.col("weight") * F.col(f"goal_{m}") / F.col("total")).otherwise(F.col("weight"))).drop("total")
-        if sweep % 4 == 3:
+        if sweep % LOOK == 0 or sweep == sweeps:
             cells = cut(cells)
-    return cells.select(*margins, "mass", *[f"goal_{m}" for m in margins], "weight")
+            cells, distance = (cells.coalesce(1) if few else cells), _distance(cells, margins)
+            if distance <= DISTANCE:
+                break
+    return cells.select(*margins, "mass", *[f"goal_{m}" for m in margins], "weight", F.lit(distance).alias("distance"))
 
 
 def probabilities(rows: DataFrame, targets: dict | None = None) -> DataFrame:
@@ -95,7 +133,7 @@ def probabilities(rows: DataFrame, targets: dict | None = None) -> DataFrame:
     top = raked.where("mass > 0").agg(F.max("weight").alias("top"))
     out = raked.crossJoin(F.broadcast(top))  # a single number
     share = F.when(F.col("mass") == 0, 1.0).when(F.col("top") > 0, F.col("weight") / F.col("top")).otherwise(0.0)
-    return out.select(*MARGINS, F.round(F.when(F.col("mass") == 0, 0.0).otherwise(F.col("weight") / F.col("top")), 9).alias("weight"), F.round(share, 9).alias("probability"))
+    return out.select(*MARGINS, F.round(F.when(F.col("mass") == 0, 0.0).otherwise(F.col("weight") / F.col("top")), PLACES).alias("weight"), F.round(share, PLACES).alias("probability"))
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -111,19 +149,21 @@ def _with_probability(rows: DataFrame, cells: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(cells) if small else cells, on).drop(*[f"cell_{m}" for m in MARGINS])
 
 
-def mix(docs: DataFrame, targets: dict | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict | None = None, topic: Column | None = None) -> DataFrame:
     """Per row: doc_id, source, lang, topic, n_tokens, weight and probability of its cell, and kept (drawn)."""
-    rows = described(docs)
+    rows = described(docs, topic)
     out = _with_probability(rows, probabilities(rows, targets))
     return out.withColumn("kept", F.col("doc_id").isNull() | (draw(F.col("doc_id")) < F.col("probability")))
 
 
-def sample(docs: DataFrame, targets: dict | None = None) -> DataFrame:
+def sample(docs: DataFrame, targets: dict | None = None, topic: Column | None = None) -> DataFrame:
     """The rows of docs that are drawn; all columns stay as they are."""
-    cells = probabilities(described(docs), targets)
+    cells = probabilities(described(docs, topic), targets)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", topic(text).alias("topic"))
-    kept = _with_probability(rows, cells).where(F.col("doc_id").isNull() | (draw(F.col("doc_id")) < F.col("probability")))
+    own = [tokens(text).alias("words")] if topic is None else [topic.cast("string").alias("topic")]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", text.alias("t"), *own)
+    rows = with_form(rows).drop("words") if topic is None else rows
+    kept = _with_probability(rows.drop("t"), cells).where(F.col("doc_id").isNull() | (draw(F.col("doc_id")) < F.col("probability")))
     return kept.select("row.*")
 
 
@@ -131,30 +171,33 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-def _oracle() -> str:
-    cases = "CASE " + " ".join(f"WHEN contains(t, '{mark}') THEN '{name}'" for name, mark in TOPICS) + f" ELSE '{OTHER_TOPIC}' END"
+def _oracle(sweeps: int = 40) -> str:
+    """The same with a fixed number of sweeps, more than the stopping rule takes on tables whose cells are all there."""
+    cases = "CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in FORMS) + f" ELSE '{OTHER_FORM}' END"
+    count = lambda chars: f"length(t) - length(regexp_replace(t, '[{chars}]', '', 'g'))"
     parts = [
         "d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents)",
-        f"r AS (SELECT doc_id, source, lang, {cases} AS topic, CAST(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM d)",
+        f"f AS (SELECT doc_id, source, lang, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS words, len(string_split(t, chr(10))) AS lines, {count('|')} AS pipes, {count('#*$%&<>=')} AS symbols, {count('A-Z')} AS capitals, {count('a-z')} AS small FROM d)",
+        f"r AS (SELECT doc_id, source, lang, {cases} AS topic, CAST(words AS BIGINT) AS n_tokens FROM f)",
         "c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS mass FROM r GROUP BY ALL)",
     ]
     for m in MARGINS:
         parts.append(f"v_{m} AS (SELECT {m}, CASE WHEN sum(mass) > 0 THEN pow(sum(mass), {TEMPERATURE}) ELSE 0 END AS goal FROM c GROUP BY {m})")
         parts.append(f"g_{m} AS (SELECT {m}, CASE WHEN sum(goal) OVER () > 0 THEN goal / sum(goal) OVER () ELSE 0 END AS goal_{m} FROM v_{m})")
     parts.append("w0 AS MATERIALIZED (SELECT c.*, goal_source, goal_lang, goal_topic, 1.0::DOUBLE AS weight FROM c " + " ".join(f"JOIN g_{m} ON c.{m} IS NOT DISTINCT FROM g_{m}.{m}" for m in MARGINS) + ")")
-    k = 0
-    for _ in range(SWEEPS):
-        for m in MARGINS:
-            parts.append(f"s{k} AS (SELECT *, sum(weight * mass) OVER (PARTITION BY {m}) AS total FROM w{k})")
-            parts.append(f"w{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (weight, total), CASE WHEN total > 0 THEN weight * goal_{m} / total ELSE weight END AS weight FROM s{k})")
-            k += 1
-    parts.append(f"p AS (SELECT *, max(weight) FILTER (WHERE mass > 0) OVER () AS top FROM w{k})")
+    # One recursive step is one margin's scaling.
+    goal = "CASE k % 3 " + " ".join(f"WHEN {i} THEN goal_{m}" for i, m in enumerate(MARGINS)) + " END"
+    value = "CASE k % 3 " + " ".join(f"WHEN {i} THEN coalesce('v' || {m}, '')" for i, m in enumerate(MARGINS)) + " END"
+    parts.append(f"""s AS (SELECT 0 AS k, * FROM w0 UNION ALL
+  SELECT k + 1, source, lang, topic, mass, goal_source, goal_lang, goal_topic, CASE WHEN total > 0 THEN weight * goal / total ELSE weight END
+  FROM (SELECT *, sum(weight * mass) OVER (PARTITION BY {value}) AS total, {goal} AS goal FROM s) WHERE k < {len(MARGINS) * sweeps})""")
+    parts.append(f"p AS (SELECT *, max(weight) FILTER (WHERE mass > 0) OVER () AS top FROM s WHERE k = {len(MARGINS) * sweeps})")
     parts.append(
-        "q AS (SELECT source, lang, topic, round(CASE WHEN mass = 0 THEN 0 ELSE weight / top END, 9) AS weight, "
-        "round(CASE WHEN mass = 0 THEN 1 WHEN top > 0 THEN weight / top ELSE 0 END, 9) AS probability FROM p)"
+        f"q AS (SELECT source, lang, topic, round(CASE WHEN mass = 0 THEN 0 ELSE weight / top END, {PLACES}) AS weight, "
+        f"round(CASE WHEN mass = 0 THEN 1 WHEN top > 0 THEN weight / top ELSE 0 END, {PLACES}) AS probability FROM p)"
     )
     return (
-        "WITH " + ",\n".join(parts) + "\nSELECT r.doc_id, r.source, r.lang, r.topic, n_tokens, weight, probability, "
+        "WITH RECURSIVE " + ",\n".join(parts) + "\nSELECT r.doc_id, r.source, r.lang, r.topic, n_tokens, weight, probability, "
         f"r.doc_id IS NULL OR CAST(('0x' || substr(md5(CAST(r.doc_id AS VARCHAR) || ':{SEED}'), 1, 13)) AS BIGINT) / {1 << 52}::DOUBLE < probability AS kept "
         "FROM r JOIN q ON " + " AND ".join(f"r.{m} IS NOT DISTINCT FROM q.{m}" for m in MARGINS)
     )
