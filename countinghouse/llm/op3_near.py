@@ -10,7 +10,7 @@
    crowded regions each node also meets the region's smallest doc_id at
    several depths. The order is range partitioned, so that no region, however
    large, lies in one task; rows at the edges of partitions meet in a second,
-   small step. Then each region of depth 1 that is larger than WINDOW + 1 and
+   small step, across partitions of few rows or none. Then each region of depth 1 that is larger than WINDOW + 1 and
    whose nodes these steps left in several families is compared whole, by
    pairs of blocks: two nodes with a first min-hash in common always meet.
 3. Neighbours whose sizes or whole signatures rule a link out (a signature five
@@ -201,18 +201,22 @@ def _links(found):
     return pa.array(root[other]), pa.array(nodes[other])
 
 
+_ROWS = ["tree", "prefix", "node", "size", "mini"]
+#: What part of its partition a row at an edge is: the first rows, the last ones, or all of a partition with fewer than WINDOW rows.
+_HEAD, _TAIL, _WHOLE = 0, 1, 2
+
+
 def _forest(batches):
-    """Pairs (a, b) that join the families within a partition of the order, and at its edges rows for _edges."""
+    """Pairs (a, b) that join the families within a partition of the order, and its rows at the edges, for _edges."""
     part = TaskContext.get().partitionId()
-    names = ["tree", "prefix", "node", "size", "mini"]
-    held, waiting, size, head = None, [], 0, None
+    held, waiting, size, seen, head = None, [], 0, 0, None
 
     def compare(rows):
         nodes = _Nodes(rows)
         leaders, first = nodes.leaders()
         a, b = _links(nodes.neighbours() + leaders)
         n = len(a)
-        out = pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), a, b, *[pa.nulls(n, rows.schema.field(c).type) for c in names]], ["edge", "a", "b", *names])
+        out = pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), a, b, *[pa.nulls(n, rows.schema.field(c).type) for c in _ROWS]], ["part", "side", "a", "b", *_ROWS])
         last = sorted({*range(max(0, len(rows) - WINDOW), len(rows)), *first})
         return out, rows.take(pa.array(last))
 
@@ -224,6 +228,7 @@ def _forest(batches):
             continue
         waiting.append(batch)
         size += len(batch)
+        seen += len(batch)
         if size >= BLOCK_NODES:
             rows = whole([*([held] if held is not None else []), *waiting])
             head = rows.slice(0, WINDOW) if head is None else head
@@ -235,15 +240,14 @@ def _forest(batches):
         head = rows.slice(0, WINDOW) if head is None else head
         out, held = compare(rows)
         yield out
-    if held is not None:
-        for edge, rows in ((part - 1, head), (part, held)):
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([edge] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *[rows[c] for c in names]], ["edge", "a", "b", *names])
+    for side, rows in ((_HEAD, head), (_TAIL, held)) if seen >= WINDOW else ((_WHOLE, head),) if seen else ():
+        n = len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([side] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *[rows[c] for c in _ROWS]], ["part", "side", "a", "b", *_ROWS])
 
 
 def _edges(group: pa.Table) -> pa.Table:
-    """Pairs among the last rows of a partition and the first rows of the next."""
-    rows = group.select(["tree", "prefix", "node", "size", "mini"]).sort_by([("tree", "ascending"), ("prefix", "ascending"), ("node", "ascending")])
+    """Pairs among the last rows of a partition, small partitions after it, and the first rows of the next larger one."""
+    rows = group.select(_ROWS).sort_by([("tree", "ascending"), ("prefix", "ascending"), ("node", "ascending")])
     nodes = _Nodes(rows.combine_chunks().to_batches()[0])
     out, _ = nodes.leaders()
     a, b = _links(nodes.neighbours() + out)
@@ -252,9 +256,14 @@ def _edges(group: pa.Table) -> pa.Table:
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """(a, b), a < b: distinct pairs of nodes that join all which a tree puts next to each other and the signatures don't rule out."""
-    out = _order(nodes).mapInArrow(_forest, f"edge int, a long, b long, {_TREE}")
-    inner = out.where(F.col("edge").isNull()).select("a", "b")
-    outer = out.where(F.col("edge").isNotNull()).groupBy("edge").applyInArrow(_edges, "a long, b long")
+    out = cut(_order(nodes).mapInArrow(_forest, f"part int, side int, a long, b long, {_TREE}"))
+    inner = out.where(F.col("part").isNull()).select("a", "b")
+    ends = out.where(F.col("part").isNotNull()).drop("a", "b")
+    # Partitions without rows don't show, and those of a few rows lie between the larger ones: a row a partition, in one window.
+    parts = ends.groupBy("part").agg(F.max((F.col("side") != _WHOLE).cast("int")).alias("large"))
+    parts = parts.select("part", F.sum("large").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)).alias("place"))
+    edge = F.col("place") - F.when(F.col("side") == _HEAD, 1).otherwise(0)
+    outer = ends.join(F.broadcast(parts), "part").withColumn("edge", edge).groupBy("edge").applyInArrow(_edges, "a long, b long")
     return inner.unionByName(outer).distinct()
 
 
