@@ -8,8 +8,12 @@
 2. Those rows are range partitioned by key and sorted by key, document and
    position; one pass over each partition meets a key's first occurrence first
    and tells every later document to drop the key.
-3. Each document meets its dropped keys by doc_id and gets a keep bitmap: a bit
-   a line, packed and compressed. The text itself is returned only on request.
+3. Each document meets its dropped keys by doc_id and gets a keep bitmap, a bit
+   a line, compressed to run lengths, and the digest of what the bitmap leaves.
+   The text itself doesn't leave the task; `apply_bitmap` gives it.
+
+A bitmap is written as the lengths of its runs, joined by commas: lines that
+stay, lines that go, and so on by turns; the first length may be 0.
 
 Defined results: a null or empty text is one empty line, which stays; a
 document without an id neither holds nor loses lines; rows that repeat a doc_id
@@ -20,7 +24,6 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -114,12 +117,16 @@ def keep_bits(text: str | None, drop_keys, min_chars: int = MIN_CHARS) -> np.nda
     return np.array([k is None or k not in gone for k in line_keys(text, min_chars)], bool)
 
 
-def packed(keep: np.ndarray) -> bytes:
-    return zlib.compress(np.packbits(keep).tobytes(), 1)
+def packed(keep: np.ndarray) -> str:
+    """The run lengths of a bitmap."""
+    edges = np.flatnonzero(np.append(keep[1:] != keep[:-1], True)) + 1
+    return ",".join(map(str, [*[0] * (not keep[0]), *np.diff(edges, prepend=0)]))
 
 
-def unpacked(bitmap: bytes, n_lines: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=n_lines).astype(bool)
+def unpacked(bitmap: str) -> np.ndarray:
+    """The bitmap that run lengths stand for."""
+    runs = list(map(int, bitmap.split(",")))
+    return np.repeat(np.arange(len(runs)) % 2 == 0, runs)
 
 
 def kept_text(text: str | None, keep: np.ndarray) -> str:
@@ -128,11 +135,15 @@ def kept_text(text: str | None, keep: np.ndarray) -> str:
     return text if keep.all() else "\n".join(line for line, k in zip(text.split("\n"), keep) if k)
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, with_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_lines, n_dropped, keep_bitmap (zlib of packed bits, a bit a line) and, with_text, kept_text."""
+def apply_bitmap(text: str | None, bitmap: str) -> str:
+    """The lines that a keep bitmap of keep_bitmaps leaves, joined."""
+    return kept_text(text, unpacked(bitmap))
+
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Per row: doc_id, n_lines, n_dropped, keep_bitmap (run lengths) and kept_sha256 (of the kept lines, UTF-8)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     drops = dropped_keys(docs, min_chars)
-    names = ["doc_id", "n_lines", "n_dropped", "keep_bitmap"] + ["kept_text"] * with_text
 
     def run(batches):
         for batch in batches:
@@ -141,13 +152,14 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, with_text: bool =
                 text = text.as_py()
                 keep = keep_bits(text, keys, min_chars)
                 bitmap = packed(keep)
-                out.append((len(keep), len(keep) - int(keep.sum()), bitmap, kept_text(text, unpacked(bitmap, len(keep))) if with_text else None))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string())
-            columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)][: len(names) - 1]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names)
+                left = apply_bitmap(text, bitmap)
+                out.append((len(keep), len(keep) - int(keep.sum()), bitmap, hashlib.sha256(left.encode("utf-8", "surrogatepass")).hexdigest()))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "n_lines", "n_dropped", "keep_bitmap", "kept_sha256"])
 
     joined = rows.join(drops, rows["doc_id"] == drops["drop_id"], "left").drop("drop_id")
-    return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, keep_bitmap binary" + ", kept_text string" * with_text)
+    return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, keep_bitmap string, kept_sha256 string")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -170,8 +182,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
 
 
 def op10_lines(spark, sf_dir: str) -> DataFrame:
-    out = keep_bitmaps(table(spark, sf_dir, "documents"), with_text=True)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return keep_bitmaps(table(spark, sf_dir, "documents"))
 
 
 ORACLE = r"""
@@ -181,8 +192,11 @@ x AS (
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM (SELECT doc_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS p FROM d)),
 f AS (SELECT k, min(doc_id) AS least FROM x WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
-y AS (SELECT x.*, least IS NOT NULL AND doc_id > least AS gone FROM x LEFT JOIN f USING (k))
-SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+y AS (SELECT x.*, least IS NOT NULL AND doc_id > least AS gone FROM x LEFT JOIN f USING (k)),
+z AS (SELECT doc_id, p, gone, p - row_number() OVER (PARTITION BY doc_id, gone ORDER BY p) AS run FROM y),
+r AS (SELECT doc_id, gone, min(p) AS place, count(*) AS n FROM z GROUP BY doc_id, gone, run),
+b AS (SELECT doc_id, CASE WHEN bool_or(gone AND place = 1) THEN '0,' ELSE '' END || string_agg(n, ',' ORDER BY place) AS keep_bitmap FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped, any_value(keep_bitmap) AS keep_bitmap,
        sha256(coalesce(string_agg(s, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM y GROUP BY doc_id
+FROM y JOIN b USING (doc_id) GROUP BY doc_id
 """
