@@ -43,24 +43,19 @@ TEMPERATURE, SEED = 0.9, "mix-1"
 PLACES = 6
 #: Most cells that are raked in one partition and broadcast.
 CELLS = 100_000
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SMALL = "abcdefghijklmnopqrstuvwxyz"
-#: (form, test on words, lines, pipes, symbols, capitals and small letters): the first that holds is the topic.
+#: (form, test on words, chars, lines, pipes, symbols and capitals): the first that holds is the topic.
 FORMS = (
-    ("table", "4 * pipes > words"), ("symbols", "3 * symbols > words"), ("capitals", "capitals > small AND capitals >= 20"),
+    ("table", "4 * pipes > words"), ("symbols", "3 * symbols > words"), ("capitals", "2 * capitals > chars - words AND capitals >= 20"),
     ("note", "words < 50"), ("list", "words < 10 * lines"),
 )
 OTHER_FORM = "prose"
 
 
-def _count(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
-
-
 def with_form(rows: DataFrame) -> DataFrame:
     """rows (t: text, words) with topic: the form of the text."""
     t = F.col("t")
-    counts = {"lines": _count(t, "\n") + 1, "pipes": _count(t, "|"), "symbols": _count(t, "#*$%&<>="), "capitals": _count(t, CAPITALS), "small": _count(t, SMALL)}
+    without = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+    counts = {"chars": F.length(t), "lines": without("\n") + 1, "pipes": without("|"), "symbols": F.regexp_count(t, F.lit("[#*$%&<>=]")), "capitals": F.regexp_count(t, F.lit("[A-Z]"))}
     topic = F.lit(OTHER_FORM)
     for name, test in reversed(FORMS):
         topic = F.when(F.expr(test), name).otherwise(topic)
@@ -177,7 +172,7 @@ def _oracle(sweeps: int = 40) -> str:
     count = lambda chars: f"length(t) - length(regexp_replace(t, '[{chars}]', '', 'g'))"
     parts = [
         "d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents)",
-        f"f AS (SELECT doc_id, source, lang, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS words, len(string_split(t, chr(10))) AS lines, {count('|')} AS pipes, {count('#*$%&<>=')} AS symbols, {count('A-Z')} AS capitals, {count('a-z')} AS small FROM d)",
+        f"f AS (SELECT doc_id, source, lang, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS words, len(string_split(t, chr(10))) AS lines, {count('|')} AS pipes, {count('#*$%&<>=')} AS symbols, {count('A-Z')} AS capitals, length(t) AS chars FROM d)",
         f"r AS (SELECT doc_id, source, lang, {cases} AS topic, CAST(words AS BIGINT) AS n_tokens FROM f)",
         "c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS mass FROM r GROUP BY ALL)",
     ]
