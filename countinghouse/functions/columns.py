@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import ACCOUNT_FLAGS, NS, PENDING_STATUS, TIMESTAMP_MAX, TIMESTAMP_MIN, TRANSFER_FLAGS, TRANSIENT
+from ..model import ACCOUNT_FLAGS, NS, OPERATIONS, PENDING_STATUS, TIMESTAMP_MAX, TIMESTAMP_MIN, TRANSFER_FLAGS, TRANSIENT
 
 
 def col(name: str | Column) -> Column:
@@ -97,6 +97,42 @@ def checkpoint_of(op: str, interval: int) -> Column:
     return F.when(F.col(op) < interval - 1, F.lit(0)).otherwise(((F.col(op) + 1) / interval).cast("long") * interval - 1)
 
 
+def fastrange(hash_: str | Column, n: int) -> Column:
+    """A number below n from a 64-bit hash, in proportion to its unsigned value."""
+    whole, signed = F.lit(str(1 << 64)).cast("decimal(20,0)"), col(hash_).cast("decimal(20,0)")
+    unsigned = F.when(signed < 0, signed + whole).otherwise(signed).cast("decimal(20,0)")
+    return F.call_function("div", unsigned * F.lit(n).cast("decimal(10,0)"), whole)
+
+
+#: Nanoseconds of a unit of time.
+UNITS = {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": NS, "m": 60 * NS, "h": 3600 * NS, "d": 86_400 * NS}
+
+
+def duration(value: str | Column, unit: str) -> Column:
+    """Nanoseconds of a whole number of units."""
+    return col(value).cast("long") * F.lit(UNITS[unit])
+
+
+def in_unit(nanos: str | Column, unit: str) -> Column:
+    """Whole units in a duration, rounded down."""
+    return F.floor(col(nanos) / F.lit(UNITS[unit])).cast("long")
+
+
+def clamp(value: str | Column, low: int, high: int) -> Column:
+    return F.least(F.greatest(col(value), F.lit(low)), F.lit(high))
+
+
+def operation_name(code: str | Column) -> Column:
+    """The name of an operation by its wire number, null if there is none."""
+    return F.coalesce(*[F.when(col(code) == n, name) for name, n in OPERATIONS.items()])
+
+
+def unit_draw(*columns: str | Column) -> Column:
+    """A number above 0 and up to 1 that the columns' values decide, from the first 13 hex digits of their MD5."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[col(c).cast("string") for c in columns]).cast("binary")), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 1) / F.lit(float((1 << 52) + 1))
+
+
 def display_id(name: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(col(name)), 32, "0"))
 

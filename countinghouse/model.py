@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 NS = 1_000_000_000
 #: Timestamps are nanoseconds; 0 and the top bit are invalid.
 TIMESTAMP_MIN, TIMESTAMP_MAX = 1, 2**63 - 1
+#: Most rows of a reply; a larger limit is cut to it.
+PAGE_MAX = 8190
 #: The largest amount a decimal(38,0) holds; larger ones are rejected at load.
 AMOUNT_MAX = 10**38 - 1
 
@@ -67,6 +69,17 @@ TRANSFER_STATUS = {
     "closing_transfer_must_be_pending": 64, "debit_account_already_closed": 65, "credit_account_already_closed": 66,
     "exists_with_different_ledger": 67, "id_already_failed": 68, "created": CREATED,
 }
+# Fields that a request with a known id is compared by, in order, and the code where they differ.
+ACCOUNT_DIFFERS = {"flags": 15, "user_data_128": 16, "user_data_64": 17, "user_data_32": 18, "ledger": 19, "code": 20}
+TRANSFER_DIFFERS = {
+    "flags": 36, "debit_account_id": 37, "credit_account_id": 38, "amount": 39, "pending_id": 40, "user_data_128": 41,
+    "user_data_64": 42, "user_data_32": 43, "timeout": 44, "code": 45, "ledger": 67,
+}
+# The wire numbers of operations.
+OPERATIONS = {
+    "pulse": 128, "get_change_events": 137, "lookup_accounts": 140, "lookup_transfers": 141, "get_account_transfers": 142, "get_account_balances": 143,
+    "query_accounts": 144, "query_transfers": 145, "create_accounts": 146, "create_transfers": 147,
+}
 #: Failures that depend on the state of the ledger; the id of a transfer that fails so may not be used again.
 TRANSIENT = (21, 22, 25, 54, 55, 65, 66)
 

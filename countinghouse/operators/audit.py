@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import credits_exceed_debits, debits_exceed_credits
+
 
 def trial_balance(balances: DataFrame, accounts: DataFrame) -> DataFrame:
     """Sums of the four balances of each ledger and whether debits equal credits."""
@@ -20,9 +22,7 @@ def limit_breaches(balances: DataFrame, accounts: DataFrame) -> DataFrame:
     """Accounts whose balances break the limit in their flags."""
     flags = accounts.select(F.col("id").alias("account_id"), "flags")
     rows = balances.join(flags, "account_id")
-    debits = (F.col("flags").bitwiseAND(2) != 0) & (F.col("debits_pending") + F.col("debits_posted") > F.col("credits_posted"))
-    credits = (F.col("flags").bitwiseAND(4) != 0) & (F.col("credits_pending") + F.col("credits_posted") > F.col("debits_posted"))
-    return rows.where(debits | credits)
+    return rows.where(debits_exceed_credits(F.lit(0)) | credits_exceed_debits(F.lit(0)))
 
 
 def double_entry(moves: DataFrame) -> DataFrame:
@@ -50,14 +50,27 @@ def smallest_interval(rows: DataFrame, keys: list[str], low: str = "lower", high
     return out.select(*keys, F.col("best.at").alias("lower"), F.col("best.next_at").alias("upper"), F.col("best.open").alias("sources_true"), (F.col("sources") - F.col("best.open")).alias("sources_false"))
 
 
+#: One over the share of ranks by which the bounds of a median may be off.
+_ACCURACY = 10_000
+
+
 def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The element at half the length of each key's sorted values, by rank rather than by gathering them."""
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    so_far = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    """The element at half the length of each key's sorted values.
+
+    A sketch a key bounds it from both sides; values below the bounds are only counted, and just those between them,
+    less than a thousandth of a large key, are ranked.
+    """
+    margin = 4 / _ACCURACY
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [0.5 - margin, 0.5 + margin], _ACCURACY).alias("cuts"), F.floor(F.count(value) / 2).alias("half"))
+    cuts = cuts.select(*[F.col(k).alias(f"cut_{k}") for k in keys], F.col("cuts")[0].alias("low"), F.col("cuts")[1].alias("high"), "half")
+    on = [rows[k].eqNullSafe(cuts[f"cut_{k}"]) for k in keys]
+    counted = rows.where(F.col(value).isNotNull()).join(cuts, on).where(F.col(value) <= F.col("high"))
+    # Values below the bounds fall into one row a key.
+    place = F.when(F.col(value) >= F.col("low"), F.col(value))
+    counted = counted.groupBy(*keys, place.alias("value_at"), "half").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy(*keys).orderBy(F.col("value_at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("upto", F.sum("n").over(so_far))
-    total = rows.groupBy(*keys).agg((F.floor(F.count("*") / 2)).alias("half"))
-    out = ranked.join(total, keys).where(F.col("upto") > F.col("half"))
-    return out.groupBy(*keys).agg(F.min(value).alias("median"))
+    return ranked.where((F.col("upto") > F.col("half")) & F.col("value_at").isNotNull()).groupBy(*keys).agg(F.min("value_at").alias("median"))
 
 
 def quorum(copies: DataFrame, keys: list[str], value: str, copy: str) -> DataFrame:
@@ -72,6 +85,13 @@ def counts_by(rows: DataFrame, group: str, across: str, values: list) -> DataFra
     return rows.groupBy(group).agg(*[F.sum((F.col(across) == v).cast("long")).alias(f"n_{v}") for v in values])
 
 
-def fingerprint(rows: DataFrame) -> DataFrame:
-    """Row count and an order-free checksum of a table."""
-    return rows.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("checksum"))
+def highest(copies: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """For each key the largest value that any copy reports of each column."""
+    return copies.groupBy(*keys).agg(*[F.max(c).alias(c) for c in columns])
+
+
+def fingerprint(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Row count and an order-free checksum of a table, or of each of its parts: sums of 52 bits of each row's MD5, to compare copies."""
+    by = by or []
+    digits = F.substring(F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]).cast("binary")), 1, 13)
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(F.conv(digits, 16, 10).cast("decimal(38,0)")).alias("checksum"))

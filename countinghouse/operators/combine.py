@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import unit_draw
+
 
 def newest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     """For each key the row with the highest version. Partial maxima go over the shuffle, a row a key and task."""
@@ -56,8 +58,8 @@ def key_ranges(rows: DataFrame, level: str, key: str) -> DataFrame:
 
 
 def sampled_one(rows: DataFrame, keys: list[str], weight: str, seed: int = 0) -> DataFrame:
-    """A weighted reservoir sample of one row for each key, decided by a hash of the row."""
+    """A weighted reservoir sample of one row for each key, decided by a hash of the row's other columns."""
     rest = [c for c in rows.columns if c not in keys]
-    unit = (F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in rows.columns]), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52) + 1)
+    unit = unit_draw(F.lit(seed), *[c for c in rows.columns if c != weight])
     drawn = rows.where(F.col(weight) > 0).withColumn("draw", F.log(unit) / F.col(weight))
     return drawn.groupBy(*keys).agg(F.max_by(F.struct(*rest), "draw").alias("one")).select(*keys, "one.*")

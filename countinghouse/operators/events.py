@@ -5,42 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import expires_at, has, prunable
-from ..model import ACCOUNT_FLAGS, PENDING_STATUS, TRANSFER_FLAGS, AccountFilter, ChangeEventsFilter
-from .pending import pending_status, resolve
+from ..functions.columns import has, prunable
+from ..model import ACCOUNT_FLAGS, PAGE_MAX, PENDING_STATUS, TRANSFER_FLAGS, AccountFilter, ChangeEventsFilter
+from .pending import status_at, two_phase_states
 
 _BALANCES = ("debits_pending", "debits_posted", "credits_pending", "credits_posted")
 _RESOLVES = TRANSFER_FLAGS["post_pending"] | TRANSFER_FLAGS["void_pending"]
 
 
 def movements(transfers: DataFrame, now: int | None = None) -> DataFrame:
-    """What takes effect, by time: transfer_id, accounts, amount, type, and by how much pending and posted sums change on both sides."""
-    zero = F.lit(0).cast("decimal(38,0)")
+    """What takes effect, by time: transfer_id, accounts, amount, type, and by how much pending and posted sums change on both sides.
+
+    A two-phase transfer's movements (created, then resolved or expired) come from its one row of two_phase_states.
+    """
+    zero, none = F.lit(0).cast("decimal(38,0)"), F.lit(0).cast("long")
     amount = F.col("amount").cast("decimal(38,0)")
-    full = F.col("p_amount").cast("decimal(38,0)")
-    plain = transfers.where(~has("flags", _RESOLVES))
-    is_pending = has("flags", TRANSFER_FLAGS["pending"])
-    created = plain.select(
-        "timestamp", F.col("id").alias("transfer_id"), F.lit(0).cast("long").alias("pending_id"), "debit_account_id", "credit_account_id", "ledger", amount.alias("amount"),
-        F.when(is_pending, PENDING_STATUS["pending"]).otherwise(PENDING_STATUS["none"]).alias("type"),
-        F.when(is_pending, amount).otherwise(zero).alias("pending"), F.when(is_pending, zero).otherwise(amount).alias("posted"),
-    )
-    posts = has("flags", TRANSFER_FLAGS["post_pending"])
-    done = resolve(transfers).where(F.col("status").isNull()).select(
-        "timestamp", F.col("id").alias("transfer_id"), "pending_id", F.col("p_debit_account_id").alias("debit_account_id"), F.col("p_credit_account_id").alias("credit_account_id"),
-        F.col("p_ledger").alias("ledger"), F.when(posts, amount).otherwise(full).alias("amount"), F.when(posts, PENDING_STATUS["posted"]).otherwise(PENDING_STATUS["voided"]).alias("type"),
-        (-full).cast("decimal(38,0)").alias("pending"), F.when(posts, amount).otherwise(zero).alias("posted"),
+    plain = transfers.where(~has("flags", _RESOLVES | TRANSFER_FLAGS["pending"]))
+    single = plain.select(
+        "timestamp", F.col("id").alias("transfer_id"), none.alias("pending_id"), "debit_account_id", "credit_account_id", "ledger", amount.alias("amount"),
+        F.lit(PENDING_STATUS["none"]).alias("type"), zero.alias("pending"), amount.alias("posted"),
     )
-    out = created.unionByName(done)
+
+    def move(timestamp, id_, pending_id, moved, type_, pending, posted):
+        columns = {"timestamp": timestamp, "transfer_id": id_, "pending_id": pending_id, "amount": moved, "type": type_.cast("int"), "pending": pending.cast("decimal(38,0)"), "posted": posted}
+        return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+    posts = has("done.flags", TRANSFER_FLAGS["post_pending"])
+    moved = F.when(posts, F.col("done.amount")).otherwise(amount)
+    steps = [
+        move(F.col("timestamp"), F.col("id"), none, amount, F.lit(PENDING_STATUS["pending"]), amount, zero),
+        F.when(
+            F.col("done").isNotNull(),
+            move(F.col("done.timestamp"), F.col("done.id"), F.col("id"), moved, F.when(posts, PENDING_STATUS["posted"]).otherwise(PENDING_STATUS["voided"]), -amount, F.when(posts, moved).otherwise(zero)),
+        ),
+    ]
     if now is not None:
-        expired = pending_status(transfers, now).where(F.col("status") == PENDING_STATUS["expired"])
-        out = out.where(F.col("timestamp") <= now).unionByName(
-            expired.select(
-                F.col("expires_at").alias("timestamp"), F.col("id").alias("transfer_id"), F.col("id").alias("pending_id"), "debit_account_id", "credit_account_id", "ledger",
-                F.col("amount").cast("decimal(38,0)").alias("amount"), F.lit(PENDING_STATUS["expired"]).alias("type"), (-F.col("amount")).cast("decimal(38,0)").alias("pending"), zero.alias("posted"),
-            )
-        )
-    return out
+        gone = (F.col("timestamp") <= now) & (status_at(now) == PENDING_STATUS["expired"])
+        steps.append(F.when(gone, move(F.col("expires_at"), F.col("id"), F.col("id"), amount, F.lit(PENDING_STATUS["expired"]), -amount, zero)))
+    states = two_phase_states(transfers).select("debit_account_id", "credit_account_id", "ledger", F.explode(F.filter(F.array(*steps), lambda x: x.isNotNull())).alias("m"))
+    out = single.unionByName(states.select("m.*", "debit_account_id", "credit_account_id", "ledger").select(*single.columns))
+    return out if now is None else out.where(F.col("timestamp") <= now)
 
 
 def entries(moves: DataFrame) -> DataFrame:
@@ -53,7 +57,8 @@ def entries(moves: DataFrame) -> DataFrame:
         return F.struct(F.col(account).alias("account_id"), F.lit("debit" if debit else "credit").alias("side"), *[c.alias(n) for c, n in zip(changes, _BALANCES)])
 
     both = F.explode(F.array(side("debit_account_id", True), side("credit_account_id", False)))
-    return moves.select("timestamp", "transfer_id", "type", "ledger", both.alias("e")).select("timestamp", "transfer_id", "type", "ledger", "e.*")
+    names = ("timestamp", "transfer_id", "pending_id", "type", "ledger", "amount")
+    return moves.select(*names, both.alias("e")).select(*names, "e.*")
 
 
 def totals(moves: DataFrame) -> DataFrame:
@@ -72,47 +77,72 @@ def running(moves: DataFrame) -> DataFrame:
     sums = rows.groupBy("account_id", "stretch").agg(*[F.sum(n).alias(f"{n}_in") for n in _BALANCES])
     before = Window.partitionBy("account_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("account_id", "stretch", *[F.coalesce(F.sum(f"{n}_in").over(before), F.lit(0)).cast("decimal(38,0)").alias(f"{n}_base") for n in _BALANCES])
-    rows = rows.select("timestamp", "transfer_id", "type", "ledger", "account_id", "side", "stretch", *[F.sum(n).over(own).alias(n) for n in _BALANCES])
+    names = ("timestamp", "transfer_id", "pending_id", "type", "ledger", "amount", "account_id", "side")
+    rows = rows.select(*names, "stretch", *[F.sum(n).over(own).alias(n) for n in _BALANCES])
     rows = rows.join(base, ["account_id", "stretch"])
-    return rows.select("timestamp", "transfer_id", "type", "ledger", "account_id", "side", *[(F.col(n) + F.col(f"{n}_base")).cast("decimal(38,0)").alias(n) for n in _BALANCES])
+    return rows.select(*names, *[(F.col(n) + F.col(f"{n}_base")).cast("decimal(38,0)").alias(n) for n in _BALANCES])
+
+
+_ACCOUNT = ("timestamp", "flags", "user_data_128", "user_data_64", "user_data_32", "code")
+
+
+def _paired(after: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Entries with balances, brought together: a row a movement with both accounts (dr_*, cr_*) after it.
+
+    The account's own columns join on its id; the two sides of a movement meet by one grouping, two rows a key.
+    """
+    known = accounts.select(F.col("id").alias("known_id"), *[F.col(n).alias(f"account_{n}") for n in _ACCOUNT])
+    rows = after.join(known, after["account_id"] == known["known_id"], "left")
+    kept = ("account_id", *_BALANCES, *[f"account_{n}" for n in _ACCOUNT])
+    side = lambda name: F.max(F.when(F.col("side") == name, F.struct(*kept)))
+    both = rows.groupBy("timestamp", "transfer_id", "type", "pending_id", "ledger", "amount").agg(side("debit").alias("dr"), side("credit").alias("cr"))
+    return both.select(
+        "timestamp", "transfer_id", F.col("pending_id").alias("transfer_pending_id"), "ledger", "amount", F.col("type").alias("transfer_pending_status"),
+        *[F.col(f"{p}.{n}").alias(f"{p}_{n}") for p in ("dr", "cr") for n in kept],
+    )
 
 
 def account_events(moves: DataFrame, accounts: DataFrame) -> DataFrame:
     """An event a movement: both accounts' ids, timestamps, flags and balances after it."""
-    after = running(moves)
-    known = accounts.select(F.col("id").alias("known_id"), F.col("timestamp").alias("account_timestamp"), F.col("flags").alias("account_flags"))
-
-    def side(name: str, p: str) -> DataFrame:
-        rows = after.where(F.col("side") == name)
-        rows = rows.join(known, rows["account_id"] == known["known_id"], "left")
-        return rows.select(
-            F.col("transfer_id").alias(f"{p}_transfer_id"), F.col("type").alias(f"{p}_type"), F.col("account_id").alias(f"{p}_account_id"),
-            F.col("account_timestamp").alias(f"{p}_account_timestamp"), F.col("account_flags").alias(f"{p}_account_flags"), *[F.col(n).alias(f"{p}_{n}") for n in _BALANCES],
-        )
-
-    dr, cr = side("debit", "dr"), side("credit", "cr")
-    base = moves.select("timestamp", "transfer_id", F.col("pending_id").alias("transfer_pending_id"), "ledger", "amount", F.col("type").alias("transfer_pending_status"))
-    out = base.join(dr, (base["transfer_id"] == dr["dr_transfer_id"]) & (base["transfer_pending_status"] == dr["dr_type"]))
-    out = out.join(cr, (base["transfer_id"] == cr["cr_transfer_id"]) & (base["transfer_pending_status"] == cr["cr_type"]))
-    return out.drop("dr_transfer_id", "cr_transfer_id", "dr_type", "cr_type")
-
-
-def change_events(events: DataFrame, transfers: DataFrame, accounts: DataFrame, f: ChangeEventsFilter) -> DataFrame:
-    """Events of a stretch of time joined to their transfer and both accounts, in time order; the page is cut before the joins."""
-    if not f.valid():
-        return events.limit(0)
+    return _paired(running(moves), accounts)
+
+
+def event_flags(moves: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The movements with both accounts' timestamps and flags: all that pruning and the history index need, without balances."""
+    out = moves.select("timestamp", "transfer_id", F.col("pending_id").alias("transfer_pending_id"), "ledger", F.col("type").alias("transfer_pending_status"), F.col("debit_account_id").alias("dr_account_id"), F.col("credit_account_id").alias("cr_account_id"))
+    for p in ("dr", "cr"):
+        known = accounts.select(F.col("id").alias("known_id"), F.col("timestamp").alias(f"{p}_account_timestamp"), F.col("flags").alias(f"{p}_account_flags"))
+        out = out.join(known, out[f"{p}_account_id"] == known["known_id"], "left").drop("known_id")
+    return out
+
+
+def change_events(moves: DataFrame, transfers: DataFrame, accounts: DataFrame, f: ChangeEventsFilter) -> DataFrame:
+    """Change events of a stretch of time in full, in time order: at most a page.
+
+    The page is taken from the movements first. Balances before it are sums over the movements of its accounts before
+    timestamp_min (nothing lies between that and the page); only the page's own entries are added up in order.
+    """
+    page = moves.limit(0) if not f.valid() else moves
     if f.timestamp_min:
-        events = events.where(F.col("timestamp") >= f.timestamp_min)
+        page = page.where(F.col("timestamp") >= f.timestamp_min)
     if f.timestamp_max:
-        events = events.where(F.col("timestamp") <= f.timestamp_max)
-    page = events.orderBy("timestamp").limit(f.limit)
-    names = ("user_data_128", "user_data_64", "user_data_32", "timeout", "code", "flags")
+        page = page.where(F.col("timestamp") <= f.timestamp_max)
+    page = page.orderBy("timestamp").limit(min(f.limit, PAGE_MAX)) if f.valid() else page
+    own = Window.partitionBy("account_id").orderBy("timestamp", "transfer_id", "side").rowsBetween(Window.unboundedPreceding, 0)
+    sides = entries(page)
+    after = sides.withColumns({n: F.sum(n).over(own) for n in _BALANCES})
+    if f.timestamp_min:
+        wanted = F.broadcast(sides.select(F.col("account_id").alias("wanted_id")).distinct())  # two a row of the page at most
+        earlier = entries(moves.where(F.col("timestamp") < f.timestamp_min))
+        base = earlier.join(wanted, earlier["account_id"] == wanted["wanted_id"], "left_semi").groupBy(F.col("account_id").alias("base_id")).agg(*[F.sum(n).alias(f"{n}_base") for n in _BALANCES])
+        after = after.join(base, after["account_id"] == base["base_id"], "left")
+        after = after.withColumns({n: (F.col(n) + F.coalesce(f"{n}_base", F.lit(0))).cast("decimal(38,0)") for n in _BALANCES})
+    events = _paired(after, accounts)
+    names = ("user_data_128", "user_data_64", "user_data_32", "timeout", "code", "flags", "timestamp")
     moved = transfers.select(F.col("id").alias("t_id"), *[F.col(n).alias(f"transfer_{n}") for n in names])
-    out = page.join(moved, page["transfer_id"] == moved["t_id"], "left").drop("t_id")
-    for p in ("dr", "cr"):
-        account = accounts.select(F.col("timestamp").alias("a_timestamp"), F.col("code").alias(f"{p}_account_code"), F.col("user_data_64").alias(f"{p}_account_user_data_64"))
-        out = out.join(account, out[f"{p}_account_timestamp"] == account["a_timestamp"], "left").drop("a_timestamp")
-    return out
+    # The page is the small side, so that transfers are read once and not moved.
+    out = moved.join(F.broadcast(events), moved["t_id"] == events["transfer_id"], "right").drop("t_id")
+    return out.orderBy("timestamp")
 
 
 def history_index(events: DataFrame) -> DataFrame:
@@ -136,7 +166,7 @@ def account_balances(moves: DataFrame, accounts: DataFrame, f: AccountFilter) ->
         rows = rows.where(F.col("timestamp") >= f.timestamp_min)
     if f.timestamp_max:
         rows = rows.where(F.col("timestamp") <= f.timestamp_max)
-    return rows.select("timestamp", *_BALANCES).orderBy(F.desc("timestamp") if f.reversed else F.asc("timestamp")).limit(f.limit)
+    return rows.select("timestamp", *_BALANCES).orderBy(F.desc("timestamp") if f.reversed else F.asc("timestamp")).limit(min(f.limit, PAGE_MAX))
 
 
 def balances_as_of(moves: DataFrame, at: int) -> DataFrame:
@@ -150,7 +180,3 @@ def prunable_events(events: DataFrame) -> DataFrame:
 
 def keep_unprunable(events: DataFrame) -> DataFrame:
     return events.where(~prunable())
-
-
-def with_expiry(transfers: DataFrame) -> DataFrame:
-    return transfers.withColumn("expires_at", expires_at())

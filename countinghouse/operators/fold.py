@@ -17,11 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import AMOUNT_MAX, CREATED, NS, TRANSFER_FLAGS, TRANSIENT
+from ..model import AMOUNT_MAX, CREATED, NS, TRANSFER_DIFFERS, TRANSFER_FLAGS, TRANSIENT
 
 _T = TRANSFER_FLAGS
-_SAME = ("flags", "debit_account_id", "credit_account_id", "amount", "pending_id", "user_data_128", "user_data_64", "user_data_32", "timeout", "code", "ledger")
-_DIFFERS = dict(zip(_SAME, (36, 37, 38, 39, 40, 41, 42, 43, 44, 45, 67)))
 
 
 @dataclass
@@ -85,7 +83,7 @@ class Ledger:
         """(status, amount moved) of a request that is sound by itself."""
         known = self.done.get(r["id"])
         if known:
-            return next((_DIFFERS[n] for n in _SAME if known[n] != r[n]), 46), 0
+            return next((code for n, code in TRANSFER_DIFFERS.items() if known[n] != r[n]), 46), 0
         if r["id"] in self.failed:
             return 68, 0
         return self._resolve(r) if r["flags"] & (_T["post_pending"] | _T["void_pending"]) else self._create(r)

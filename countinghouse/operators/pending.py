@@ -36,17 +36,23 @@ def resolver_status() -> Column:
     )
 
 
-def resolve(transfers: DataFrame) -> DataFrame:
+def _joined(transfers: DataFrame, named: DataFrame) -> DataFrame:
+    """Each resolver of transfers with the row of named that it names (columns p_*) and own_status: what it would get if no other resolver came."""
+    names = ("id", "debit_account_id", "credit_account_id", "amount", "ledger", "code", "flags", "timestamp")
+    pending = named.select(*[F.col(n).alias(f"p_{n}") for n in names], expires_at().alias("p_expires_at"))
+    rows = _resolvers(transfers)
+    rows = rows.join(pending, (rows["pending_id"] == pending["p_id"]) & (pending["p_timestamp"] < rows["timestamp"]), "left")
+    return rows.withColumn("own_status", resolver_status())
+
+
+def resolve(transfers: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """Each resolver with its pending transfer (columns p_*) and status: null if it applies.
 
     The first resolver that fits wins; a later one fails as already posted or voided. One equi-join on the pending
-    id; both sides have at most a few rows a key, and a hot key can be split.
+    id; both sides have at most a few rows a key, and a hot key can be split. named: the transfers that may be named,
+    each id once; those of the table itself if it isn't given.
     """
-    names = ("id", "debit_account_id", "credit_account_id", "amount", "ledger", "code", "flags", "timestamp")
-    pending = transfers.select(*[F.col(n).alias(f"p_{n}") for n in names], expires_at().alias("p_expires_at"))
-    rows = _resolvers(transfers)
-    rows = rows.join(pending, (rows["pending_id"] == pending["p_id"]) & (pending["p_timestamp"] < rows["timestamp"]), "left")
-    rows = rows.withColumn("own_status", resolver_status())
+    rows = _joined(transfers, transfers if named is None else named)
     fits = rows.where(F.col("own_status").isNull())
     first = fits.groupBy(F.col("pending_id").alias("first_pending_id")).agg(F.min_by(F.struct("timestamp", "flags"), "timestamp").alias("first"))
     rows = rows.join(first, rows["pending_id"] == first["first_pending_id"], "left").drop("first_pending_id")
@@ -56,19 +62,40 @@ def resolve(transfers: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(late & in_order, again).otherwise(F.col("own_status"))).drop("own_status", "first")
 
 
-def pending_status(transfers: DataFrame, now: int) -> DataFrame:
-    """id, timestamp, expires_at, amount and status of each pending transfer at a time."""
-    done = resolve(transfers).where(F.col("status").isNull() & (F.col("timestamp") <= now))
-    done = done.select(F.col("pending_id").alias("done_id"), F.col("flags").alias("done_flags"), F.col("timestamp").alias("resolved_at"))
-    rows = pending_transfers(transfers).where(F.col("timestamp") <= now)
-    rows = rows.join(done, rows["id"] == done["done_id"], "left")
-    status = (
-        F.when(has("done_flags", TRANSFER_FLAGS["post_pending"]), PENDING_STATUS["posted"])
-        .when(has("done_flags", TRANSFER_FLAGS["void_pending"]), PENDING_STATUS["voided"])
+def two_phase_states(transfers: DataFrame) -> DataFrame:
+    """Each pending transfer with expires_at and done: the resolver (id, flags, amount, timestamp) that applies to it at some time, or null.
+
+    Resolvers meet their pending transfers once, and the first that fits is found by the same key: one join, one grouping
+    and one join back, from which status, movements and expiry are all derived.
+    """
+    fits = _joined(transfers, transfers).where(F.col("own_status").isNull())
+    done = fits.groupBy(F.col("pending_id").alias("done_id")).agg(F.min_by(F.struct("id", "flags", F.col("amount").cast("decimal(38,0)").alias("amount"), "timestamp"), "timestamp").alias("done"))
+    rows = pending_transfers(transfers)
+    return rows.join(done, rows["id"] == done["done_id"], "left").drop("done_id")
+
+
+def status_at(now: int) -> Column:
+    """What a row of two_phase_states is at a time."""
+    resolved = F.coalesce(F.col("done.timestamp") <= now, F.lit(False))
+    return (
+        F.when(resolved & has("done.flags", TRANSFER_FLAGS["post_pending"]), PENDING_STATUS["posted"])
+        .when(resolved, PENDING_STATUS["voided"])
         .when(F.col("expires_at") <= now, PENDING_STATUS["expired"])
         .otherwise(PENDING_STATUS["pending"])
     )
-    return rows.select("id", "debit_account_id", "credit_account_id", "ledger", "amount", "timestamp", "expires_at", "resolved_at", status.alias("status"))
+
+
+def pending_status(transfers: DataFrame, now: int) -> DataFrame:
+    """id, timestamp, expires_at, amount and status of each pending transfer at a time."""
+    rows = two_phase_states(transfers).where(F.col("timestamp") <= now)
+    resolved_at = F.when(F.col("done.timestamp") <= now, F.col("done.timestamp"))
+    return rows.select("id", "debit_account_id", "credit_account_id", "ledger", "amount", "timestamp", "expires_at", resolved_at.alias("resolved_at"), status_at(now).alias("status"))
+
+
+def status_index(transfers: DataFrame, now: int) -> DataFrame:
+    """Of all transfers id and transfer_pending_status_indexed: the status of a pending transfer, null for any other, which isn't indexed."""
+    others = transfers.where(~has("flags", TRANSFER_FLAGS["pending"])).select("id", F.lit(None).cast("int").alias("transfer_pending_status_indexed"))
+    return pending_status(transfers, now).select("id", F.col("status").alias("transfer_pending_status_indexed")).unionByName(others)
 
 
 def due(transfers: DataFrame, now: int) -> DataFrame:

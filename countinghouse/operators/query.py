@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import ACCOUNT_FILTER_FLAGS, AccountFilter, QueryFilter
+from ..model import ACCOUNT_FILTER_FLAGS, PAGE_MAX, AccountFilter, QueryFilter
 
 #: Most requested ids that are sent to every task; more are joined over a shuffle.
 BROADCAST_IDS = 100_000
@@ -51,13 +51,13 @@ def _equal(f, names) -> list[Column]:
 
 
 def _page(rows: DataFrame, f, conditions: list[Column]) -> DataFrame:
-    """One scan with all conditions, ordered by timestamp and cut at the limit; nothing if the filter is invalid."""
+    """One scan with all conditions, ordered by timestamp and cut at the limit (PAGE_MAX at most); nothing if the filter is invalid."""
     if not f.valid():
         return rows.limit(0)
     for c in conditions:
         rows = rows.where(c)
     order = F.desc("timestamp") if f.reversed else F.asc("timestamp")
-    return rows.orderBy(order).limit(f.limit)
+    return rows.orderBy(order).limit(min(f.limit, PAGE_MAX))
 
 
 def account_transfers(transfers: DataFrame, f: AccountFilter) -> DataFrame:
@@ -77,6 +77,6 @@ def query(rows: DataFrame, f: QueryFilter) -> DataFrame:
 
 
 def next_page(rows: DataFrame, last: int, limit: int, descending: bool = False) -> DataFrame:
-    """The page after a timestamp."""
+    """The page after a timestamp, of at most PAGE_MAX rows."""
     after = F.col("timestamp") < last if descending else F.col("timestamp") > last
-    return rows.where(after).orderBy(F.desc("timestamp") if descending else F.asc("timestamp")).limit(limit)
+    return rows.where(after).orderBy(F.desc("timestamp") if descending else F.asc("timestamp")).limit(min(limit, PAGE_MAX))

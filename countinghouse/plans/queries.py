@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import derived, has, nonzero, valid_timestamp
-from ..model import AccountFilter, ChangeEventsFilter, QueryFilter
+from ..checkpoints import checkpoint_folder
+from ..functions.columns import (
+    align_forward, checkpoint_of, clamp, derived, display_id, div_ceil, duration, fastrange, has, in_unit, nonzero, operation_name, post_xor_void, sort_key, transient,
+    valid_timestamp, with_closed, without_closed,
+)
+from ..model import OPERATIONS, TRANSIENT, AccountFilter, ChangeEventsFilter, QueryFilter
 from ..operators import audit, combine, events, fold, pending, query, validate
 from ..sources import derived as tables
 from ..sources import generator
@@ -76,6 +79,14 @@ def lookup_batch_status(spark, d):
     return query.lookup_status(tables.accounts(spark, d), asked)
 
 
+@register(f"{_T}, w AS (SELECT timestamp AS moment, row_number() OVER (ORDER BY id) - 1 AS p FROM transfers WHERE id IN (1, 5, 17, 100)) SELECT CAST(p AS BIGINT) AS position, x.* FROM ({_MOVED}) x JOIN w ON x.timestamp = moment")
+def lookup_by_timestamp(spark, d):
+    rows = tables.transfers(spark, d)
+    asked = [r["timestamp"] for r in rows.where(F.col("id").isin(1, 5, 17, 100)).orderBy("id").select("timestamp").collect()]
+    found = query.lookup(rows, asked, key="timestamp")
+    return _longs(found.select("position", "id", "debit_account_id", "credit_account_id", "amount", "code", "user_data_64", "timestamp"), "amount", "code")
+
+
 # --- transfers of an account
 
 _ACCOUNT, _SHOP = 7, 1_000_000_003
@@ -137,11 +148,11 @@ ranked AS (SELECT res.*, expires_at, pend.timestamp AS p_at, row_number() OVER (
 done AS (SELECT * FROM ranked WHERE n = 1 AND timestamp < expires_at AND timestamp <= {NOW}),
 st AS (SELECT pend.*, done.timestamp AS resolved_at, CASE WHEN done.flags = 4 THEN 2 WHEN done.flags = 8 THEN 3 WHEN pend.expires_at <= {NOW} THEN 4 ELSE 1 END AS status
        FROM pend LEFT JOIN done ON done.pending_id = pend.id WHERE pend.timestamp <= {NOW}),
-mv AS (
+mv AS MATERIALIZED (
   SELECT timestamp, id AS transfer_id, dr, cr, amount, 1 AS type, amount AS pending, 0 AS posted FROM st
   UNION ALL SELECT timestamp, id, dr, cr, amount, CASE flags WHEN 4 THEN 2 ELSE 3 END, -amount, CASE flags WHEN 4 THEN amount ELSE 0 END FROM done
   UNION ALL SELECT expires_at, id, dr, cr, amount, 4, -amount, 0 FROM st WHERE status = 4),
-en AS (
+en AS MATERIALIZED (
   SELECT timestamp, transfer_id, type, dr AS account_id, 'debit' AS side, pending AS dp, posted AS dc, 0 AS cp, 0 AS cc FROM mv
   UNION ALL SELECT timestamp, transfer_id, type, cr, 'credit', 0, 0, pending, posted FROM mv)"""
 _SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {n}" for c, n in zip(("dp", "dc", "cp", "cc"), _BALANCES))
@@ -159,7 +170,7 @@ def account_balances_total(spark, d):
 @register(f"""{_RESOLVED} SELECT timestamp, transfer_id, account_id, side,
  {', '.join(f"CAST(sum({c}) OVER (PARTITION BY account_id ORDER BY timestamp, transfer_id, side ROWS UNBOUNDED PRECEDING) AS BIGINT) AS {n}" for c, n in zip(('dp', 'dc', 'cp', 'cc'), _BALANCES))} FROM en""")
 def running_balances(spark, d):
-    return _longs(events.running(_two_phase_moves(spark, d)).drop("type", "ledger"), *_BALANCES)
+    return _longs(events.running(_two_phase_moves(spark, d)).drop("type", "ledger", "pending_id", "amount"), *_BALANCES)
 
 
 @register(f"""{_T}, e AS (SELECT timestamp, sum(amount) OVER (ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS c FROM transfers WHERE credit_account_id = {_SHOP})
@@ -226,26 +237,34 @@ def pending_outstanding(spark, d):
 # --- change events
 
 def _events(spark, d):
-    return events.account_events(_two_phase_moves(spark, d), tables.accounts(spark, d))
+    """The movements with both accounts' flags and timestamps."""
+    return events.event_flags(_two_phase_moves(spark, d), tables.accounts(spark, d))
 
 
 _EVENTS = f"""{_RESOLVED}, {ACCOUNTS_SQL},
-run AS (SELECT *, {', '.join(f"sum({c}) OVER (PARTITION BY account_id ORDER BY timestamp, transfer_id, side ROWS UNBOUNDED PRECEDING) AS r_{c}" for c in ('dp', 'dc', 'cp', 'cc'))} FROM en),
-ev AS (SELECT mv.timestamp, mv.transfer_id, mv.type, mv.dr, mv.cr, mv.amount, a.r_dp AS dr_dp, a.r_dc AS dr_dc, b.r_cp AS cr_cp, b.r_cc AS cr_cc,
-              x.flags AS dr_flags, y.flags AS cr_flags, x.timestamp AS dr_at, y.timestamp AS cr_at
+run AS MATERIALIZED (SELECT *, {', '.join(f"sum({c}) OVER (PARTITION BY account_id ORDER BY timestamp, transfer_id, side ROWS UNBOUNDED PRECEDING) AS r_{c}" for c in ('dp', 'dc', 'cp', 'cc'))} FROM en),
+ev AS MATERIALIZED (SELECT mv.timestamp, mv.transfer_id, mv.type, mv.dr, mv.cr, mv.amount, a.r_dp AS dr_dp, a.r_dc AS dr_dc, b.r_cp AS cr_cp, b.r_cc AS cr_cc,
+              x.flags AS dr_flags, y.flags AS cr_flags, x.timestamp AS dr_at, y.timestamp AS cr_at, x.user_data_64 AS dr_u64, y.user_data_64 AS cr_u64
        FROM mv JOIN run a ON a.transfer_id = mv.transfer_id AND a.type = mv.type AND a.side = 'debit' JOIN run b ON b.transfer_id = mv.transfer_id AND b.type = mv.type AND b.side = 'credit'
        JOIN accounts x ON x.id = mv.dr JOIN accounts y ON y.id = mv.cr)"""
 _EV_FROM, _EV_TO = 700_000_000_000_000_000, 900_000_000_000_000_000
 
 
-@register(f"""{_EVENTS} SELECT ev.timestamp, transfer_id, CAST(type AS BIGINT) AS transfer_pending_status, dr AS dr_account_id, cr AS cr_account_id, CAST(ev.amount AS BIGINT) AS amount,
+@register(f"""{_EVENTS}, t AS (SELECT id, timestamp FROM pend UNION ALL SELECT id, timestamp FROM res)
+SELECT ev.timestamp, transfer_id, CAST(type AS BIGINT) AS transfer_pending_status, dr AS dr_account_id, cr AS cr_account_id, CAST(ev.amount AS BIGINT) AS amount,
 CAST(dr_dp AS BIGINT) AS dr_debits_pending, CAST(dr_dc AS BIGINT) AS dr_debits_posted, CAST(cr_cp AS BIGINT) AS cr_credits_pending, CAST(cr_cc AS BIGINT) AS cr_credits_posted,
-CAST(CASE WHEN transfer_id % 2 = 0 THEN 432000 ELSE 0 END AS BIGINT) AS transfer_timeout, CAST(10 AS BIGINT) AS dr_account_code, CAST(30 AS BIGINT) AS cr_account_code
-FROM ev WHERE timestamp BETWEEN {_EV_FROM} AND {_EV_TO} ORDER BY timestamp LIMIT 2000""")
+CAST(CASE WHEN transfer_id % 2 = 0 THEN 432000 ELSE 0 END AS BIGINT) AS transfer_timeout, CAST(10 AS BIGINT) AS dr_account_code, CAST(30 AS BIGINT) AS cr_account_code,
+t.timestamp AS transfer_timestamp, CAST(0 AS BIGINT) AS dr_account_user_data_128, dr_u64 AS dr_account_user_data_64, CAST(0 AS BIGINT) AS dr_account_user_data_32, cr_u64 AS cr_account_user_data_64,
+dr_at AS dr_account_timestamp, cr_at AS cr_account_timestamp, CAST(dr_flags AS BIGINT) AS dr_account_flags, CAST(cr_flags AS BIGINT) AS cr_account_flags
+FROM ev JOIN t ON t.id = transfer_id WHERE ev.timestamp BETWEEN {_EV_FROM} AND {_EV_TO} ORDER BY ev.timestamp LIMIT 2000""")
 def change_events_window(spark, d):
     f = ChangeEventsFilter(_EV_FROM, _EV_TO, limit=2000)
-    rows = events.change_events(_events(spark, d), tables.two_phase(spark, d), tables.accounts(spark, d), f)
-    names = ("timestamp", "transfer_id", "transfer_pending_status", "dr_account_id", "cr_account_id", "amount", "dr_debits_pending", "dr_debits_posted", "cr_credits_pending", "cr_credits_posted", "transfer_timeout", "dr_account_code", "cr_account_code")
+    rows = events.change_events(_two_phase_moves(spark, d), tables.two_phase(spark, d), tables.accounts(spark, d), f)
+    names = (
+        "timestamp", "transfer_id", "transfer_pending_status", "dr_account_id", "cr_account_id", "amount", "dr_debits_pending", "dr_debits_posted", "cr_credits_pending", "cr_credits_posted", "transfer_timeout",
+        "dr_account_code", "cr_account_code", "transfer_timestamp", "dr_account_user_data_128", "dr_account_user_data_64", "dr_account_user_data_32", "cr_account_user_data_64", "dr_account_timestamp", "cr_account_timestamp",
+        "dr_account_flags", "cr_account_flags",
+    )
     return _longs(rows.select(*names), *names)
 
 
@@ -260,6 +279,15 @@ def account_timestamp_index(spark, d):
     return events.history_index(_events(spark, d))
 
 
+@register(f"""{_EVENTS} SELECT timestamp, transfer_id, CAST(type AS BIGINT) AS type, dr AS dr_account_id, cr AS cr_account_id,
+CAST(dr_dp AS BIGINT) AS dr_debits_pending, CAST(dr_dc AS BIGINT) AS dr_debits_posted, CAST(cr_cp AS BIGINT) AS cr_credits_pending, CAST(cr_cc AS BIGINT) AS cr_credits_posted FROM ev""")
+def account_events(spark, d):
+    """Every event with both accounts' balances after it."""
+    rows = events.account_events(_two_phase_moves(spark, d), tables.accounts(spark, d)).withColumnRenamed("transfer_pending_status", "type")
+    names = ("timestamp", "transfer_id", "type", "dr_account_id", "cr_account_id", "dr_debits_pending", "dr_debits_posted", "cr_credits_pending", "cr_credits_posted")
+    return _longs(rows.select(*names), *names)
+
+
 @register(f"{_EVENTS} SELECT timestamp, transfer_id FROM ev WHERE dr_flags & 8 = 0 AND cr_flags & 8 = 0")
 def prunable_events(spark, d):
     return events.prunable_events(_events(spark, d)).select("timestamp", "transfer_id")
@@ -270,11 +298,17 @@ def history_events(spark, d):
     return events.keep_unprunable(_events(spark, d)).select("timestamp", "transfer_id")
 
 
-@register(f"""{_EVENTS} SELECT timestamp, CASE type WHEN 4 THEN dr END AS dr_account_id_expired, CASE type WHEN 4 THEN cr END AS cr_account_id_expired,
-CASE type WHEN 4 THEN transfer_id END AS pending_id_expired, CAST(CASE type WHEN 4 THEN 1 END AS BIGINT) AS ledger_expired FROM ev""")
+@register(f"""{_RESOLVED} SELECT timestamp, CASE type WHEN 4 THEN dr END AS dr_account_id_expired, CASE type WHEN 4 THEN cr END AS cr_account_id_expired,
+CASE type WHEN 4 THEN transfer_id END AS pending_id_expired, CAST(CASE type WHEN 4 THEN 1 END AS BIGINT) AS ledger_expired FROM mv""")
 def expired_index(spark, d):
     names = ("dr_account_id_expired", "cr_account_id_expired", "pending_id_expired", "ledger_expired")
-    return _events(spark, d).withColumns(derived(*names)).select("timestamp", *names)
+    rows = _two_phase_moves(spark, d).withColumnsRenamed({"type": "transfer_pending_status", "pending_id": "transfer_pending_id", "debit_account_id": "dr_account_id", "credit_account_id": "cr_account_id"})
+    return rows.withColumns(derived(*names)).select("timestamp", *names)
+
+
+@register(f"{_RESOLVED} SELECT id, CAST(status AS BIGINT) AS transfer_pending_status_indexed FROM st UNION ALL SELECT id, NULL FROM res")
+def pending_status_index(spark, d):
+    return _longs(pending.status_index(tables.two_phase(spark, d), NOW), "transfer_pending_status_indexed")
 
 
 # --- derived columns
@@ -292,6 +326,31 @@ def account_flags(spark, d):
     return rows.select("id", has("flags", 8).alias("history"), has("flags", 32).alias("closed"), nonzero("user_data_64").alias("user_data_64_indexed"), valid_timestamp("timestamp").alias("valid_timestamp"))
 
 
+@register(f"{_P}, t AS (SELECT id, 2 AS flags, timestamp, 1 AS code FROM pend UNION ALL SELECT id, flags, timestamp, 1 FROM res) SELECT id, CAST(flags | 32 AS BIGINT) AS closed, CAST(flags & ~32 AS BIGINT) AS opened, (flags & 4 <> 0) <> (flags & 8 <> 0) AS resolves, id % 70 IN ({', '.join(map(str, TRANSIENT))}) AS passing, CAST(1 AS BIGINT) AS key_field, timestamp AS key_timestamp FROM t")
+def flag_columns(spark, d):
+    """Flags set and cleared, one of two flags, passing failures and composite keys."""
+    rows = tables.two_phase(spark, d).withColumn("key", sort_key("code"))
+    out = rows.select("id", with_closed("flags").alias("closed"), without_closed("flags").alias("opened"), post_xor_void("flags").alias("resolves"), transient(F.col("id") % 70).alias("passing"), F.col("key.field").alias("key_field"), F.col("key.timestamp").alias("key_timestamp"))
+    return _longs(out, "closed", "opened", "key_field")
+
+
+@register("""SELECT CAST(o_orderkey AS BIGINT) AS k, CAST((o_custkey + 7) // 8 AS BIGINT) AS blocks, CAST((o_custkey + 7) // 8 * 8 AS BIGINT) AS aligned, CAST(CASE WHEN o_orderkey < 959 THEN 0 ELSE (o_orderkey + 1) // 960 * 960 - 1 END AS BIGINT) AS checkpoint,
+lpad(lower(to_hex(o_orderkey)), 32, '0') AS shown, CAST(o_custkey * 60000000000 AS BIGINT) AS nanos, CAST(o_custkey // 60 AS BIGINT) AS hours, CAST(least(greatest(o_custkey, 10), 500) AS BIGINT) AS clamped,
+CAST((o_orderkey::HUGEINT * 900000000000000 * 1000) // 18446744073709551616::HUGEINT AS BIGINT) AS bucket FROM orders""")
+def number_columns(spark, d):
+    """Division and alignment upwards, checkpoints of operations, ids as text, durations and ranges."""
+    k, c = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
+    rows = tables.table(spark, d, "orders").select(k.alias("k"), c.alias("c"), (k * 900_000_000_000_000).alias("hash"), duration(c, "m").alias("nanos"))
+    out = rows.select("k", div_ceil("c", 8).alias("blocks"), align_forward("c", 8).alias("aligned"), checkpoint_of("k", 960).alias("checkpoint"), display_id("k").alias("shown"), "nanos", in_unit("nanos", "h").alias("hours"), clamp("c", 10, 500).alias("clamped"), fastrange("hash", 1000).alias("bucket"))
+    return _longs(out, "blocks", "aligned", "checkpoint", "clamped", "bucket")
+
+
+@register(f"WITH n AS (SELECT * FROM (VALUES {', '.join(f'({n}, {name!r})' for name, n in OPERATIONS.items())}) AS v(code, name)) SELECT CAST(128 + event_id % 20 AS BIGINT) AS operation, name, count(*) AS events FROM events LEFT JOIN n ON code = 128 + event_id % 20 GROUP BY ALL")
+def operation_names(spark, d):
+    rows = tables.table(spark, d, "events").select((128 + F.col("event_id") % 20).cast("long").alias("operation"))
+    return rows.withColumn("name", operation_name("operation")).groupBy("operation", "name").agg(F.count("*").alias("events"))
+
+
 # --- merges and versions
 
 @register(f"""{_T}, u AS (SELECT id, 0 AS s, timestamp FROM transfers WHERE id % 2 = 0 UNION ALL SELECT id, 1, timestamp + 1 FROM transfers WHERE id % 3 = 0 UNION ALL SELECT id, 2, timestamp + 2 FROM transfers WHERE id % 5 = 0)
@@ -361,7 +420,7 @@ def _account_requests(spark, d):
     amount = lambda test: F.when(test, 5).otherwise(0).cast("decimal(38,0)")
     flags = F.when(k % 19 == 2, 6).when(k % 23 == 4, 64).when(k % 5 == 1, 8).otherwise(0)
     return tables.table(spark, d, "customer").select(
-        F.lit(0).cast("long").alias("batch_id"), k.cast("long").alias("index"), F.when(k % 11 == 3, 0).when(k % 43 == 7, k).otherwise(k + 1).cast("long").alias("id"),
+        F.expr("CAST(c_custkey DIV 8190 AS BIGINT)").alias("batch_id"), k.cast("long").alias("index"), F.when(k % 11 == 3, 0).when(k % 43 == 7, k).otherwise(k + 1).cast("long").alias("id"),
         zero.alias("debits_pending"), amount(k % 29 == 1).alias("debits_posted"), amount(k % 31 == 2).alias("credits_pending"), zero.alias("credits_posted"),
         F.lit(0).cast("long").alias("user_data_128"), F.col("c_nationkey").cast("long").alias("user_data_64"), F.lit(0).cast("long").alias("user_data_32"),
         F.when(k % 13 == 5, 0).otherwise(1).cast("long").alias("ledger"), F.when(k % 17 == 7, 0).otherwise(10).alias("code"), flags.alias("flags"), F.when(k % 37 == 8, 9).otherwise(0).cast("long").alias("timestamp"),
@@ -373,7 +432,7 @@ def _account_requests(spark, d):
 s AS (SELECT *, CASE WHEN k % 37 = 8 THEN 3 WHEN flags = 64 THEN 5 WHEN id = 0 THEN 6 WHEN flags = 6 THEN 8 WHEN k % 29 = 1 THEN 10 WHEN k % 31 = 2 THEN 11 WHEN k % 13 = 5 THEN 13 WHEN k % 17 = 7 THEN 14 END AS shape FROM q),
 e AS (SELECT s.*, x.id AS known, x.flags AS xf, x.user_data_64 AS xu, x.code AS xc FROM s LEFT JOIN (SELECT * FROM accounts WHERE id % 2 = 0 AND code = 10) x USING (id)),
 f AS (SELECT *, first_value(k) OVER w AS fk, first_value(flags) OVER w AS ff, first_value(u) OVER w AS fu FROM e WHERE shape IS NULL AND known IS NULL WINDOW w AS (PARTITION BY id ORDER BY k))
-SELECT CAST(0 AS BIGINT) AS batch_id, e.k AS index, e.id, CAST(coalesce(e.shape, CASE WHEN e.known IS NOT NULL THEN CASE WHEN e.flags <> e.xf THEN 15 WHEN e.u <> e.xu THEN 17 ELSE 21 END
+SELECT CAST(e.k // 8190 AS BIGINT) AS batch_id, e.k AS index, e.id, CAST(coalesce(e.shape, CASE WHEN e.known IS NOT NULL THEN CASE WHEN e.flags <> e.xf THEN 15 WHEN e.u <> e.xu THEN 17 ELSE 21 END
   WHEN fk < e.k THEN CASE WHEN e.flags <> ff THEN 15 WHEN e.u <> fu THEN 17 ELSE 21 END END, 4294967295) AS BIGINT) AS status FROM e LEFT JOIN f USING (k)""")
 def create_accounts_status(spark, d):
     existing = tables.accounts(spark, d).where("id % 2 = 0 AND code = 10")
@@ -393,17 +452,30 @@ def _transfer_requests(spark, d):
     return rows.withColumns({"batch_id": F.floor(F.col("at") / F.lit(10**16)), "index": F.col("at"), "timestamp": F.lit(0).cast("long")})
 
 
-@register(f"""{_P},
-p AS (SELECT *, CASE WHEN id % 53 = 6 AND id % 41 <> 4 THEN cr WHEN id % 41 = 4 THEN dr + 100000000 ELSE dr END AS d2, amount + CASE WHEN id % 86 = 13 THEN 1 ELSE 0 END AS a2 FROM pend),
-ps AS (SELECT *, CASE WHEN d2 = cr THEN 12 WHEN id % 62 = 10 THEN 20 WHEN d2 <> dr THEN 21 END AS status FROM p),
+_STATUSES = f"""{_P},
+p AS (SELECT *, k % 5 = 0 AS known, CASE WHEN id % 53 = 6 AND id % 41 <> 4 THEN cr WHEN id % 41 = 4 THEN dr + 100000000 ELSE dr END AS d2, amount + CASE WHEN id % 86 = 13 THEN 1 ELSE 0 END AS a2 FROM (SELECT *, id // 2 - 1 AS k FROM pend)),
+ps AS (SELECT *, CASE WHEN d2 = cr THEN 12 WHEN id % 62 = 10 THEN 20 WHEN known THEN CASE WHEN d2 <> dr THEN 37 WHEN a2 <> amount THEN 39 ELSE 46 END WHEN d2 <> dr THEN 21 END AS status FROM p),
 r AS (SELECT *, CASE WHEN id % 53 = 6 AND id % 41 <> 4 THEN cr WHEN id % 41 = 4 THEN dr + 100000000 ELSE dr END AS d2, amount + CASE WHEN id % 86 = 13 THEN 1 ELSE 0 END AS a2 FROM res),
-rs AS (SELECT r.*, CASE WHEN r.d2 = r.cr THEN 12 WHEN r.id % 74 = 11 THEN 17 WHEN ps.status IS NOT NULL THEN 25 WHEN r.d2 <> ps.d2 THEN 27
-         WHEN r.a2 > ps.a2 THEN 31 WHEN flags = 8 AND r.a2 < ps.a2 THEN 32 WHEN r.timestamp >= ps.expires_at THEN 35 END AS status
-       FROM r JOIN ps ON ps.id = pending_id)
-SELECT id, CAST(coalesce(status, 4294967295) AS BIGINT) AS status FROM ps UNION ALL SELECT id, CAST(coalesce(status, 4294967295) AS BIGINT) FROM rs""")
+rs AS (SELECT r.*, CASE WHEN r.d2 = r.cr THEN 12 WHEN r.id % 74 = 11 THEN 17 WHEN ps.status IS NOT NULL AND NOT known THEN 25 WHEN r.d2 <> CASE WHEN known THEN ps.dr ELSE ps.d2 END THEN 27
+         WHEN r.a2 > CASE WHEN known THEN ps.amount ELSE ps.a2 END THEN 31 WHEN flags = 8 AND r.a2 < CASE WHEN known THEN ps.amount ELSE ps.a2 END THEN 32 WHEN r.timestamp >= ps.expires_at THEN 35 END AS status
+       FROM r JOIN ps ON ps.id = pending_id)"""
+
+
+def _results(spark, d):
+    """The spoilt requests against a table that has every fifth order's pending transfer already."""
+    existing = tables.two_phase(spark, d).where("id % 2 = 0 AND (id DIV 2 - 1) % 5 = 0")
+    return validate.create_transfers(_transfer_requests(spark, d), tables.accounts(spark, d), existing)
+
+
+@register(f"{_STATUSES} SELECT id, CAST(coalesce(status, 4294967295) AS BIGINT) AS status FROM ps UNION ALL SELECT id, CAST(coalesce(status, 4294967295) AS BIGINT) FROM rs")
 def create_transfers_status(spark, d):
-    requests = _transfer_requests(spark, d)
-    return validate.create_transfers(requests, tables.accounts(spark, d), tables.two_phase(spark, d).limit(0)).select("id", "status")
+    return _results(spark, d).select("id", "status")
+
+
+@register(f"{_STATUSES} SELECT id FROM ps WHERE status IN (21, 22, 25) UNION SELECT id FROM rs WHERE status IN (21, 22, 25)")
+def used_up_ids(spark, d):
+    """Ids that failed for a passing reason and may not be asked again."""
+    return validate.used_up_ids(_results(spark, d))
 
 
 @register("SELECT CAST(l_orderkey AS BIGINT) AS id, timestamp, CAST(rank AS BIGINT) AS rank FROM (SELECT l_orderkey, l_linenumber * 1000000 + l_suppkey * 100 + l_partkey % 100 AS timestamp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_suppkey * 100 + l_partkey % 100) AS rank FROM lineitem) WHERE rank > 1")
@@ -485,10 +557,26 @@ def table_counts(spark, d):
     return out[0].union(out[1]).union(out[2])
 
 
-@register(None)
+_DRAW = "(CAST(('0x' || substr(md5({}), 1, 13)) AS BIGINT) + 1) / 4503599627370497::DOUBLE".format
+
+
+@register(f"{_T}, w AS (SELECT *, ln({_DRAW("'7:' || code || ':' || id")}) / amount AS draw FROM transfers WHERE amount > 0) SELECT CAST(code AS BIGINT) AS code, max_by(id, draw) AS id, CAST(max_by(amount, draw) AS DOUBLE) AS weight FROM w GROUP BY code")
 def weighted_sample(spark, d):
     rows = tables.transfers(spark, d).select("code", "id", F.col("amount").cast("double").alias("weight"))
-    return combine.sampled_one(rows, ["code"], "weight", seed=7)
+    return _longs(combine.sampled_one(rows, ["code"], "weight", seed=7), "code").select("code", "id", "weight")
+
+
+@register("SELECT CAST(user_id AS BIGINT) AS key, max(event_id) AS event_id, CAST(max(floor(value)) AS BIGINT) AS value FROM events GROUP BY user_id")
+def highest_of_copies(spark, d):
+    rows = tables.table(spark, d, "events").select(F.col("user_id").cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.floor("value").cast("long").alias("value"))
+    return audit.highest(rows, ["key"], ["event_id", "value"])
+
+
+@register("SELECT CAST(o_orderkey % 8 AS BIGINT) AS part, count(*) AS rows, CAST(sum(CAST(('0x' || substr(md5((o_orderkey % 8) || ':' || o_orderkey || ':' || o_custkey || ':' || o_orderstatus), 1, 13)) AS BIGINT)) AS VARCHAR) AS checksum FROM orders GROUP BY 1")
+def table_fingerprints(spark, d):
+    """Counts and checksums of the parts of a table, by which copies are compared."""
+    rows = tables.table(spark, d, "orders").select((F.col("o_orderkey") % 8).cast("long").alias("part"), F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_orderstatus")
+    return audit.fingerprint(rows, ["part"]).withColumn("checksum", F.col("checksum").cast("string"))
 
 
 @register("SELECT CAST(a AS BIGINT) AS account_id, CAST(count(*) AS BIGINT) AS ids FROM (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS a, o_orderkey FROM orders) GROUP BY a")
@@ -500,29 +588,36 @@ def batch_pack_unpack(spark, d):
     return store.unpack(store.pack(rows)).groupBy(F.col("batch_id").alias("account_id")).agg(F.countDistinct("index").alias("ids"))
 
 
-@register(None)
+@register(f"""WITH n AS (SELECT (SELECT count(*) FROM events) AS transfers, (SELECT count(*) FROM customer) AS accounts),
+g AS (SELECT least(floor(pow({_DRAW("'42:1:' || i")}, 1 / (1 - 0.9::DOUBLE)) * accounts), accounts - 1) AS debit, ceil({_DRAW("'42:3:' || i")} * 10000) AS amount FROM (SELECT unnest(range(transfers)) AS i, accounts FROM n))
+SELECT CAST(debit + 1 AS BIGINT) AS debit_account_id, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM g GROUP BY debit""")
 def generated_transfers(spark, d):
-    """A seeded zipfian workload, as counts by how busy the debited account is."""
-    rows = generator.transfers(spark, 10_000, 1_000, "zipfian", "random").groupBy("debit_account_id").agg(F.count("*").alias("n"), F.sum("amount").cast("long").alias("amount"))
-    return rows
+    """A seeded zipfian workload, as many transfers as there are events, as counts by how busy the debited account is."""
+    n, accounts = (tables.table(spark, d, t).count() for t in ("events", "customer"))
+    rows = generator.transfers(spark, n, accounts, "zipfian", "random")
+    return rows.groupBy("debit_account_id").agg(F.count("*").alias("n"), F.sum("amount").cast("long").alias("amount"))
 
 
 # --- streams
 
+#: Rows of a file that a stream reads, about.
+FILE_ROWS = 1_000_000
+
+
 def _stream_folder(spark: SparkSession) -> str:
-    """A folder of its own for a stream's checkpoint and output, in the shared folder if the session names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A folder of its own for a stream's checkpoint and output, in the shared folder."""
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _streamed(spark, rows: DataFrame, parts: int):
-    """rows as Parquet files in order of time, written one after the other, which a stream then reads so."""
+    """rows as Parquet files, one stretch of time after the other, which a stream then reads a stretch a batch."""
     folder = _stream_folder(spark)
-    cuts = rows.agg(F.percentile_approx("timestamp", [n / parts for n in range(1, parts)], 1000).alias("cuts")).first()["cuts"] or []
+    found = rows.agg(F.percentile_approx("timestamp", [n / parts for n in range(1, parts)], 1000).alias("cuts"), F.count("*").alias("n")).first()
+    cuts, files = found["cuts"] or [], max(1, found["n"] // (parts * FILE_ROWS))
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows.where(F.lit(True) if low is None else F.col("timestamp") > low).where(F.lit(True) if high is None else F.col("timestamp") <= high)
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return flows.read_table(spark, f"{folder}/in", rows.schema, 1), folder
+        part.repartition(files).write.mode("append").parquet(f"{folder}/in")
+    return flows.read_table(spark, f"{folder}/in", rows.schema, files), folder
 
 
 @register(f"{_T}, p AS (SELECT timestamp AS t FROM transfers ORDER BY timestamp LIMIT 1 OFFSET 100) {_MOVED}, p WHERE timestamp > t")
@@ -535,7 +630,9 @@ def stream_cdc(spark, d):
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
-@register(None)
+@register(f"""{_P}, clock AS (SELECT max(timestamp) - 1000000 AS t FROM (SELECT timestamp FROM pend UNION ALL SELECT timestamp FROM res)),
+done AS (SELECT pending_id FROM res JOIN pend ON pend.id = pending_id WHERE res.timestamp < expires_at)
+SELECT id AS pending_id, CAST(1 AS BIGINT) AS ledger, CAST(amount AS BIGINT) AS amount, expires_at AS expired_at FROM pend, clock WHERE expires_at <= t AND id NOT IN (SELECT pending_id FROM done)""")
 def stream_expiry(spark, d):
     """Expired pending transfers, from timers of a stream of two-phase transfers."""
     stream, folder = _streamed(spark, tables.two_phase(spark, d), 4)

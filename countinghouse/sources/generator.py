@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import unit_draw
+
 ID_ORDERS = ("sequential", "reversed", "random")
 DISTRIBUTIONS = ("uniform", "zipfian", "latest")
 
 
 def _unit(seed: int, salt: int) -> Column:
-    """A number in [0, 1) that the row's number decides."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("n")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """A number above 0 and up to 1 that the row's number decides."""
+    return unit_draw(F.lit(seed), F.lit(salt), "n")
 
 
 def _pick(unit: Column, accounts: int, distribution: str, theta: float) -> Column:
@@ -33,10 +35,10 @@ def transfers(spark: SparkSession, n: int, n_accounts: int, distribution: str =
         raise ValueError("unknown distribution or order of ids, or fewer than two accounts")
     rows = spark.range(n).withColumnRenamed("id", "n")
     debit = _pick(_unit(seed, 1), n_accounts, distribution, theta)
-    step = F.floor(_unit(seed, 2) * (n_accounts - 1)) + 1
+    step = F.least(F.floor(_unit(seed, 2) * (n_accounts - 1)), F.lit(n_accounts - 2)) + 1
     ids = {"sequential": F.col("n") + 1, "reversed": F.lit(n) - F.col("n"), "random": F.pmod(F.xxhash64(F.lit(seed), F.col("n")), F.lit(2**62)) + 1}
     return rows.select(
         ids[id_order].cast("long").alias("id"), (debit + 1).cast("long").alias("debit_account_id"), (F.pmod(debit + step, F.lit(n_accounts)) + 1).cast("long").alias("credit_account_id"),
-        (F.floor(_unit(seed, 3) * 10_000) + 1).cast("decimal(38,0)").alias("amount"), F.lit(1).cast("long").alias("ledger"), F.lit(1).alias("code"), F.lit(0).alias("flags"),
+        F.ceil(_unit(seed, 3) * 10_000).cast("decimal(38,0)").alias("amount"), F.lit(1).cast("long").alias("ledger"), F.lit(1).alias("code"), F.lit(0).alias("flags"),
         (F.col("n") + n_accounts + 1).cast("long").alias("timestamp"),
     )

@@ -19,9 +19,9 @@ def latest(spark: SparkSession, path: str, keys: list[str], version: str = "vers
 
 
 def compact(spark: SparkSession, path: str, to: str, keys: list[str], version: str = "version") -> None:
-    """Rewrites a table of versions with only its live rows."""
+    """Rewrites a table of versions with only its live rows, in files by ledger and stretch of time: a busy ledger is many tasks' work."""
     rows = latest(spark, path, keys, version)
-    rows.repartition("ledger").sortWithinPartitions("ledger", "timestamp").write.partitionBy("ledger").parquet(to)
+    rows.repartitionByRange("ledger", "timestamp").sortWithinPartitions("ledger", "timestamp").write.partitionBy("ledger").parquet(to)
 
 
 def pack(batch: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def changes_after(events: DataFrame, timestamp_last: int = 0) -> DataFrame:
 
 def publish(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Hands each micro-batch, in time order, to a sink; a batch that is repeated after a failure has the same number."""
-    return events.writeStream.foreachBatch(lambda df, n: sink(df.sortWithinPartitions("timestamp"), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(lambda df, n: sink(df.orderBy("timestamp"), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def idempotent(transfers: DataFrame, delay: str = "1 hour") -> DataFrame:

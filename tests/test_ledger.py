@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from countinghouse.functions.columns import credits_exceed_debits, debits_exceed_credits, display_id, div_ceil
@@ -40,8 +41,9 @@ def requests(spark, *rows, batch=True):
     return spark.createDataFrame(rows_, schema)
 
 
-def fast(spark, accs, *rows):
-    out = validate.create_transfers(requests(spark, *rows), accs, spark.createDataFrame([], TRANSFER_SCHEMA))
+def fast(spark, accs, *rows, existing=(), **options):
+    before = requests(spark, *existing).select(*T) if existing else spark.createDataFrame([], TRANSFER_SCHEMA)
+    out = validate.create_transfers(requests(spark, *rows), accs, before, **options)
     return [r["status"] for r in out.orderBy("index").collect()]
 
 
@@ -136,6 +138,55 @@ def test_duplicates(spark, plain):
     assert folded(spark, plain, *rows)[0] == wanted
 
 
+def test_used_up_ids(spark, plain):
+    """An id that failed for a passing reason is used up; one that failed for another may be asked again."""
+    rows = ({"id": 7, "debit_account_id": 9}, {"id": 7}, {"id": 8, "ledger": 2}, {"id": 8}, {"id": 8}, {"id": 9, "flags": 4, "pending_id": 55}, {"id": 9, "flags": 4, "pending_id": 55})
+    wanted = [21, 68, 24, CREATED, 46, 25, 68]
+    assert fast(spark, plain, *rows) == wanted
+    assert folded(spark, plain, *rows)[0] == wanted
+    results = validate.create_transfers(requests(spark, *rows), plain, spark.createDataFrame([], TRANSFER_SCHEMA))
+    used = validate.used_up_ids(results)
+    assert sorted(r["id"] for r in used.collect()) == [7, 9]
+    # In a later batch.
+    assert fast(spark, plain, {"id": 7}, {"id": 10}, used_up=used) == [68, CREATED]
+
+
+def test_against_existing_transfers(spark, plain):
+    existing = ({"id": 100}, {"id": 101, "flags": 2, "amount": 50, "at": 2}, {"id": 102, "flags": 2, "amount": 60}, {"id": 103, "flags": 4, "pending_id": 102, "amount": 60})
+    existing = [r | {"timestamp": 10 + n} for n, r in enumerate(existing)]
+    rows = (
+        {"id": 100, "timestamp": 0}, {"id": 100, "amount": 11}, {"id": 103, "flags": 4, "pending_id": 102, "amount": 60}, {"flags": 8, "pending_id": 102, "amount": 0}, {"flags": 4, "pending_id": 101, "amount": 51},
+        {"flags": 4, "pending_id": 101, "amount": 50}, {"flags": 4, "pending_id": 101, "amount": 50}, {"flags": 4, "pending_id": 100}, {"flags": 4, "pending_id": 103}, {"id": 300, "flags": 2}, {"flags": 4, "pending_id": 300},
+    )
+    rows = [{"id": 200 + n} | r for n, r in enumerate(rows)]
+    assert fast(spark, plain, *rows, existing=existing) == [46, 39, 46, 33, 31, CREATED, 33, 26, 26, CREATED, CREATED]
+
+
+def test_imported_transfers(spark, plain):
+    """A batch imports or doesn't; imported timestamps lie before the clock, after both accounts, and advance."""
+    def imported(*rows):
+        return [{"flags": 256} | r | {"at": r.get("timestamp", 0)} for r in rows]
+
+    rows = imported({"timestamp": 10}, {"timestamp": 10}, {"timestamp": 9}, {"timestamp": 2}, {"timestamp": 1}, {"timestamp": 900}, {"timestamp": 0}, {"timestamp": 20, "debit_account_id": 9}, {"timestamp": 15}, {"timestamp": 16, "flags": 0})
+    assert fast(spark, plain, *rows, clock=500) == [CREATED, 60, 60, 62, 61, 59, 58, 21, CREATED, 56]
+    assert fast(spark, plain, {}, *imported({"timestamp": 10})) == [CREATED, 57]
+    assert fast(spark, plain, *imported({"timestamp": 30}, {"timestamp": 50}), existing=[{"id": 1, "timestamp": 40}]) == [60, CREATED]
+
+
+def test_batches_that_need_the_order_are_refused(spark, plain):
+    closed = accounts(spark, {"id": 1, "timestamp": 1, "flags": 32}, {"id": 2, "timestamp": 2})
+    cases = [
+        (plain, ({"flags": 16},)), (plain, ({"flags": 66},)), (closed, ({},)), (plain, ({"id": 7}, {"id": 7, "flags": 4, "pending_id": 9})), (plain, ({"id": 7, "flags": 1}, {"id": 7})),
+        (plain, ({"flags": 3}, {"code": 0}, {"flags": 4, "pending_id": 100})), (plain, ({"amount": AMOUNT_MAX}, {"amount": AMOUNT_MAX})),
+    ]
+    for accs, rows in cases:
+        with pytest.raises(ValueError, match="ordered fold"):
+            fast(spark, accs, *rows)
+    # A resolver of an existing transfer on a closed account.
+    assert validate.needs_order(requests(spark, {"id": 9, "flags": 4, "pending_id": 5, "debit_account_id": 0, "credit_account_id": 0}), closed, requests(spark, {"id": 5, "flags": 2}).select(*T)).count() >= 1
+    assert validate.needs_order(requests(spark, {}, {"flags": 1}, {}), plain, spark.createDataFrame([], TRANSFER_SCHEMA)).count() == 0
+
+
 def test_chains(spark, plain):
     rows = ({"flags": 1}, {"flags": 1, "code": 0}, {}, {}, {"flags": 1}, {}, {"flags": 1})
     wanted = [1, 20, 1, CREATED, CREATED, CREATED, 2]
@@ -175,12 +226,47 @@ def test_fold_equals_fast_path(spark, plain):
 def test_account_batch(spark):
     existing = accounts(spark, {"id": 5, "timestamp": 5, "user_data_64": 7})
     rows = [{"id": 5, "user_data_64": 7}, {"id": 5, "user_data_64": 8}, {"id": 6}, {"id": 6}, {"id": 6, "code": 11}, {"id": 0}, {"id": 8, "flags": 6}, {"id": 9, "flags": 64}, {"id": 10, "flags": 1}, {"id": 0}, {"id": 11, "flags": 16, "timestamp": 3}, {"id": 12, "flags": 16, "timestamp": 9}]
-    batch = accounts(spark, *rows)
-    at = F.row_number().over(__import__("pyspark").sql.Window.orderBy("n"))
-    numbered = batch.withColumn("n", F.monotonically_increasing_id())
-    batch = numbered.withColumns({"index": at.cast("long"), "batch_id": F.lit(0).cast("long")}).drop("n")
-    got = [r["status"] for r in validate.create_accounts(batch, existing).orderBy("index").collect()]
-    assert got == [21, 17, CREATED, 21, 20, 6, 8, 5, 1, 6, 26, CREATED]
+
+    def run(rows, **options):
+        at = F.row_number().over(Window.orderBy("n"))
+        numbered = accounts(spark, *rows).withColumn("n", F.monotonically_increasing_id())
+        batch = numbered.withColumns({"index": at.cast("long"), "batch_id": F.floor((at - 1) / 20)}).drop("n")
+        return [r["status"] for r in validate.create_accounts(batch, existing, **options).orderBy("index").collect()]
+
+    assert run(rows) == [21, 17, CREATED, 21, 20, 6, 8, 5, 1, 6, 23, 23]
+    # A batch that imports: not after the clock, in order, and past what exists; the next batch goes on from there.
+    imported = [{"id": 20 + n, "flags": 16, "timestamp": t} for n, t in enumerate((3, 9, 8, 70, 10, 0))] + [{"id": 40}, {"id": 21, "flags": 16, "timestamp": 11}]
+    imported += [{"id": 50 + n, "flags": 16, "timestamp": 30} for n in range(12)] + [{"id": 80, "flags": 16, "timestamp": 29}, {"id": 81, "flags": 16, "timestamp": 31}]
+    assert run(imported, clock=60) == [26, CREATED, 26, 25, CREATED, 24, 22, 21] + [CREATED] + [26] * 11 + [26, CREATED]
+
+
+def test_change_event_pages(spark, sf):
+    """A page of events has the balances that a run over all movements gives."""
+    rows, accs = derived.two_phase(spark, sf), derived.accounts(spark, sf)
+    moves = events.movements(rows, plans.NOW)
+    every = {(r["timestamp"], r["transfer_id"]): r for r in events.account_events(moves, accs).collect()}
+    times = sorted(t for t, _ in every)
+    for f in (ChangeEventsFilter(limit=50), ChangeEventsFilter(times[300], times[700], limit=10_000), ChangeEventsFilter(times[-5], limit=3)):
+        page = events.change_events(moves, rows, accs, f).collect()
+        wanted = [t for t in times if t >= f.timestamp_min and (not f.timestamp_max or t <= f.timestamp_max)][: f.limit]
+        assert [r["timestamp"] for r in page] == wanted
+        for r in page:
+            full = every[r["timestamp"], r["transfer_id"]]
+            assert all(r[n] == full[n] for n in full.asDict())
+            assert r["transfer_timestamp"] <= r["timestamp"] and r["dr_account_user_data_64"] is not None
+    assert events.change_events(moves, rows, accs, ChangeEventsFilter()).count() == 0
+
+
+def test_upper_median_of_large_keys(spark):
+    rows = spark.range(60_001).select((F.col("id") % 2).alias("key"), (F.col("id") * 7919 % 60_001).alias("value")).unionByName(spark.createDataFrame([(7, 5), (8, 1), (8, 2), (None, 3), (9, None)], "key long, value long"))
+    got = {r["key"]: r["median"] for r in audit.upper_median(rows, ["key"], "value").collect()}
+    held = {k: sorted(n * 7919 % 60_001 for n in range(k, 60_001, 2)) for k in (0, 1)}
+    assert got == {k: v[len(v) // 2] for k, v in held.items()} | {7: 5, 8: 2, None: 3}
+
+
+def test_pages_are_bounded(spark):
+    rows = generator.transfers(spark, 9000, 50)
+    assert query.query(rows, QueryFilter(ledger=1, limit=100_000)).count() == 8190
 
 
 def test_balances_agree(spark, sf):
