@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpoint_folder, cut
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Only a session on this machine alone may do without: it gets a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
+__all__ = ["checkpoint_folder", "cut", "lower_ascii", "partitions", "remove", "table"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read from there: its lineage ends, and lost executors don't matter.
 
-    With spark.cleaner.referenceTracking.cleanCheckpoints Spark removes the files once nothing refers to them.
-    """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def remove(spark: SparkSession, path: str) -> None:
