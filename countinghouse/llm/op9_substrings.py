@@ -3,21 +3,29 @@
 A word goes if a window over it also starts in a document with a smaller
 doc_id. Windows are judged on the input.
 
-1. Each task hashes every window of its documents, in blocks of about a million
-   windows. Within a block a window's smallest document is known, so the other
-   documents' removals are settled there and merge into intervals; only one
-   (hash, smallest document) per window and block is dealt on. A passage held
-   by a third of all documents thus costs a row a block, not a row a document.
-2. The pairs are dealt by the top bits of the hash, packed into sorted, delta
-   coded arrays, to buckets of bounded size. A bucket finds each window's
-   smallest document and answers the others: (document, hashes to remove).
+1. Each task hashes every window of its documents twice, with independent bases,
+   in blocks of about a million windows. Within a block a window's smallest
+   document is known, so the other documents' removals are settled there, by
+   both hashes, and merge into intervals; only one (fingerprint, smallest
+   document) per window and block is dealt on. A passage held by a third of all
+   documents thus costs a row a block, not a row a document.
+2. Fingerprints, the top PRINT_BITS bits of the first hash, are dealt by their
+   own top bits, packed into sorted, delta coded arrays, to buckets of bounded
+   size. Where documents share one, the bucket answers: all but the smallest are
+   to remove such windows, if the second hash bears it out.
 3. The answers are dealt by groups of documents, packed likewise, and a group
    tells each of its documents in one row what to remove.
-4. Each document meets its row by doc_id; windows with those hashes merge with
-   the intervals into maximal removal intervals.
-
-Hashes have 64 bits: n distinct windows give about n*n / 2**65 pairs that are
-taken for equal by accident, 5e-4 for the 1.4e8 windows of 0.5 GB.
+4. Each document meets its row by doc_id. Documents that share fingerprints send
+   the second hashes of those windows to the fingerprints' buckets, where the few
+   windows that share a fingerprint but not the second hash are found; only
+   these exceptions are sent back.
+5. Windows that remain to be removed merge with the intervals of step 1 into
+   maximal removal intervals.
+
+Buckets, groups and partitions grow with the size of the input. Windows are
+taken for equal if PRINT_BITS + 64 = 112 bits of their hashes agree: n distinct
+windows give about n*n / 2**113 pairs that are by accident, 2e-18 for the 1.4e8
+windows of 0.5 GB and 3e-8 for the 1.6e13 of 100 TB.
 
 Defined results: a null or empty text has no words; a document without an id
 neither holds nor loses a passage; rows that repeat a doc_id are one document's
@@ -39,8 +47,12 @@ from .words import Hasher, mix, run_starts, spaced_table, text_chunks, word_span
 
 WINDOW = 13
 BLOCK_WINDOWS = 1 << 20
+#: Bits of the first hash by which windows find each other; the second hash confirms.
+PRINT_BITS = 48
 #: Windows that a bucket gets on average, at most.
 BUCKET_WINDOWS = 1 << 18
+#: Characters of text a partition has, about, where the session has fewer partitions.
+PARTITION_CHARS = 16_000_000
 _PAIRS = "bucket int, doc_id long, version long, hashes binary, docs binary"
 
 
@@ -73,6 +85,14 @@ def merged(starts: np.ndarray, ends: np.ndarray):
     return starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
 
 
+def _print(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - PRINT_BITS)
+
+
+def _bucket(prints: np.ndarray, bits: int) -> np.ndarray:
+    return (prints >> np.uint64(PRINT_BITS - bits)).astype(np.int64)
+
+
 class _Block:
     """Windows of some documents, and what they say once the block is full."""
 
@@ -81,11 +101,12 @@ class _Block:
         self.clear()
 
     def clear(self):
-        self.hash, self.doc, self.row, self.at, self.ids, self.versions, self.size = [], [], [], [], [], [], 0
+        self.hash, self.check, self.doc, self.row, self.at, self.ids, self.versions, self.size = [], [], [], [], [], [], [], 0
 
-    def add(self, hashes, rows, at, ids, versions):
+    def add(self, hashes, checks, rows, at, ids, versions):
         base = sum(map(len, self.ids))
         self.hash.append(hashes)
+        self.check.append(checks)
         self.doc.append(ids[rows])
         self.row.append(rows + base)
         self.at.append(at)
@@ -97,14 +118,16 @@ class _Block:
         if not self.size:
             self.clear()
             return
-        h, doc, row, at = (np.concatenate(x) for x in (self.hash, self.doc, self.row, self.at))
+        h, c, doc, row, at = (np.concatenate(x) for x in (self.hash, self.check, self.doc, self.row, self.at))
         ids, versions = np.concatenate(self.ids), np.concatenate(self.versions)
         if (doc[1:] < doc[:-1]).any():
             order = np.argsort(doc, kind="stable")
-            h, doc, row, at = h[order], doc[order], row[order], at[order]
+            h, c, doc, row, at = h[order], c[order], doc[order], row[order], at[order]
         order = np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
-        new = np.append(True, h[1:] != h[:-1])
+        if ((h[order][1:] == h[order][:-1]) & (c[order][1:] != c[order][:-1])).any():
+            order = np.lexsort((c, h))
+        h, c, doc = h[order], c[order], doc[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
         least = doc[new][np.cumsum(new) - 1]
         out = []
         again = order[doc > least]
@@ -115,31 +138,38 @@ class _Block:
         for a, b in zip(edges, np.append(edges[1:], len(row))):
             s, e = merged(at[a:b], at[a:b] + self.width)
             r = row[a]
-            out.append((int(mix(ids[r : r + 1].view(np.uint64))[0] >> np.uint64(64 - self.bits)), int(ids[r]), int(versions[r]), None, np.concatenate([s, e]).astype(np.int32).tobytes()))
-        h, doc = h[new], doc[new]
-        bucket = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+            out.append((int(_group(ids[r : r + 1], self.bits)[0]), int(ids[r]), int(versions[r]), None, np.concatenate([s, e]).astype(np.int32).tobytes()))
+        prints, doc = _print(h[new]), doc[new]
+        bucket = _bucket(prints, self.bits)
         edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        for a, b in zip(edges, np.append(edges[1:], len(h))):
-            out.append((int(bucket[a]), None, None, pack_sorted(h[a:b]), pack(doc[a:b])))
+        for a, b in zip(edges, np.append(edges[1:], len(prints))):
+            out.append((int(bucket[a]), None, None, pack_sorted(prints[a:b]), pack(doc[a:b])))
         self.clear()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "doc_id", "version", "hashes", "docs"])
 
 
-def _windows(column, width: int, hasher: Hasher, table_: np.ndarray):
-    for lo, hi, data, offsets in text_chunks(column):
-        starts, ends, bounds = word_spans(data, offsets, table_)
-        words = hasher.of_words(data, starts, ends)
-        first, last, docs = run_starts(bounds, width, short=False)
-        yield lo, hi, data, offsets, bounds, hasher.of_runs(words, first, last), docs, first
+class _Windows:
+    """The windows of the texts of a column, chunk by chunk, with their first hashes; the second ones are made when asked for."""
+
+    def __init__(self, width: int):
+        self.width, self.first, self.second, self.table = width, Hasher(), Hasher(1), spaced_table()
+
+    def chunks(self, column):
+        for lo, hi, data, offsets in text_chunks(column):
+            starts, ends, bounds = word_spans(data, offsets, self.table)
+            first, last, docs = run_starts(bounds, self.width, short=False)
+            hashes = self.first.of_runs(self.first.of_words(data, starts, ends), first, last)
+            checks = lambda: self.second.of_runs(self.second.of_words(data, starts, ends), first, last)  # noqa: B023, E731
+            yield lo, hi, data, offsets, bounds, hashes, checks, docs, first
 
 
 def _pairs(width: int, bits: int):
     def run(batches):
-        hasher, spaced, block = Hasher(), spaced_table(), _Block(width, bits)
+        windows, block = _Windows(width), _Block(width, bits)
         for batch in batches:
             ids, versions = batch["doc_id"].to_numpy(zero_copy_only=False), batch["version"].to_numpy(zero_copy_only=False)
-            for lo, hi, _, _, bounds, hashes, docs, first in _windows(batch["text"], width, hasher, spaced):
-                block.add(hashes, docs, first - bounds[docs], ids[lo:hi], versions[lo:hi])
+            for lo, hi, _, _, bounds, hashes, checks, docs, first in windows.chunks(batch["text"]):
+                block.add(hashes, checks(), docs, first - bounds[docs], ids[lo:hi], versions[lo:hi])
                 if block.size >= BLOCK_WINDOWS:
                     yield from block.flush()
         yield from block.flush()
@@ -152,7 +182,7 @@ def _group(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _answers(group_bits: int):
-    """From the pairs by bucket, rows by group of documents: packed (documents, hashes to remove), and intervals passed on."""
+    """From the pairs by bucket, rows by group of documents: packed (documents, fingerprints they share), and intervals passed on."""
     names, kinds = ["bucket", "doc_id", "version", "hashes", "docs"], (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
     def run(batches):
@@ -163,13 +193,17 @@ def _answers(group_bits: int):
             order = np.lexsort((d, h))
             h, d = h[order], d[order]
             new = np.append(True, h[1:] != h[:-1])
-            later = d > d[new][np.cumsum(new) - 1]
+            run = np.cumsum(new) - 1
+            later = d > d[new][run]
+            leads = new & np.bincount(run, weights=later).astype(bool)[run]
             later[1:] &= ~((h[1:] == h[:-1]) & (d[1:] == d[:-1]))
-            out_doc.append(d[later])
-            out_hash.append(h[later])
+            # The last bit of an answer is 1 for the document that keeps its windows.
+            for said, bit in ((later, 0), (leads, 1)):
+                out_doc.append(d[said])
+                out_hash.append((h[said] << np.uint64(1)) | np.uint64(bit))
             hashes.clear()
             docs.clear()
-            return int(later.sum())
+            return int(later.sum() + leads.sum())
 
         def answer():
             d, h = np.concatenate(out_doc), np.concatenate(out_hash)
@@ -216,11 +250,11 @@ def _by_document(batches):
         found = {d: [{"version": v, "hashes": None, "spans": s} for v, s in x] for d, x in spans.items()}
         if hashes:
             h, d = np.concatenate(hashes), np.concatenate(docs)
-            order = np.argsort(d, kind="stable")
+            order = np.lexsort((h, d))
             h, d = h[order], d[order]
             edges = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
             for a, b in zip(edges, np.append(edges[1:], len(d))):
-                found.setdefault(int(d[a]), []).append({"version": None, "hashes": h[a:b].tobytes(), "spans": None})
+                found.setdefault(int(d[a]), []).append({"version": None, "hashes": pack_sorted(h[a:b]), "spans": None})
         hashes.clear()
         docs.clear()
         spans.clear()
@@ -241,23 +275,107 @@ def _by_document(batches):
         yield settle()
 
 
+def _shared(found) -> np.ndarray:
+    """The answers among what was found for a document, sorted."""
+    blobs = [unpack_sorted(x["hashes"]) for x in found or () if x["hashes"] is not None]
+    return np.concatenate(blobs) if blobs else np.zeros(0, np.uint64)
+
+
+_CHECKS = "bucket int, hashes binary, docs binary, checks binary"
+
+
+def _checks(width: int, bits: int):
+    """From documents and what was found for them, rows by bucket: packed (fingerprints, documents, second hashes) of their shared windows."""
+
+    def run(batches):
+        windows, held, size = _Windows(width), [], 0
+
+        def out():
+            f, d, c = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.lexsort((c, d, f))
+            f, d, c = f[order], d[order], c[order]
+            new = np.append(True, (f[1:] != f[:-1]) | (d[1:] != d[:-1]) | (c[1:] != c[:-1]))
+            f, d, c = f[new], d[new], c[new]
+            bucket = _bucket(f, bits)
+            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            both = list(zip(edges, np.append(edges[1:], len(f))))
+            blobs = [pa.array(x, pa.binary()) for x in ([pack_sorted(f[a:b]) for a, b in both], [pack(d[a:b]) for a, b in both], [c[a:b].tobytes() for a, b in both])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edges], pa.int32()), *blobs], ["bucket", "hashes", "docs", "checks"])
+
+        for batch in batches:
+            found, ids = batch["found"].to_pylist(), batch["doc_id"].to_pylist()
+            for lo, hi, _, _, _, hashes, checks, docs, _ in windows.chunks(batch["text"]):
+                edge, c = np.searchsorted(docs, np.arange(hi - lo + 1)), None
+                for d in range(hi - lo):
+                    shared = _shared(found[lo + d])
+                    if not len(shared):
+                        continue
+                    f = _print(hashes[edge[d] : edge[d + 1]])
+                    at = np.flatnonzero(np.isin(f, shared >> np.uint64(1)))
+                    if len(at):
+                        c = checks() if c is None else c
+                        held.append((f[at], np.full(len(at), ids[lo + d], np.int64), c[edge[d] + at]))
+                        size += len(at)
+                if size >= BLOCK_WINDOWS:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _exceptions(batches):
+    """From the rows of _checks by bucket: (keep_id, hash, check) of windows that share a fingerprint with a smaller document, but not the second hash."""
+    now, held = None, []
+
+    def settle():
+        f, d, c = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((d, c, f))
+        f, d, c = f[order], d[order], c[order]
+        new_f = np.append(True, f[1:] != f[:-1])
+        run = np.cumsum(new_f) - 1
+        new = new_f | np.append(True, c[1:] != c[:-1])
+        least = np.minimum.reduceat(d, np.flatnonzero(new_f))[run]
+        # The smallest document of a second hash, where another one with the fingerprint is smaller still.
+        kept = new & (d > least)
+        kinds = (d[kept], f[kept].view(np.int64), c[kept].view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in kinds], ["keep_id", "hash", "check"])
+
+    for batch in batches:
+        for bucket, h, d, c in zip(*(batch[n].to_pylist() for n in ("bucket", "hashes", "docs", "checks"))):
+            if bucket != now and held:
+                yield settle()
+            now = bucket
+            prints = unpack_sorted(h)
+            held.append((prints, unpack(d, len(prints), np.int64), np.frombuffer(c, np.uint64)))
+    if held:
+        yield settle()
+
+
 def _kept(width: int):
     def run(batches):
-        hasher, spaced = Hasher(), spaced_table()
+        windows = _Windows(width)
         for batch in batches:
-            found = batch["found"].to_pylist()
-            versions = batch["version"].to_pylist()
-            ids = batch["doc_id"]
-            for lo, hi, data, offsets, bounds, hashes, docs, first in _windows(batch["text"], width, hasher, spaced):
+            found, versions, keep, ids = batch["found"].to_pylist(), batch["version"].to_pylist(), batch["keep"].to_pylist(), batch["doc_id"]
+            for lo, hi, data, offsets, bounds, hashes, checks, docs, _ in windows.chunks(batch["text"]):
                 edge = np.searchsorted(docs, np.arange(hi - lo + 1))
                 n_words, n_removed, spans, texts = np.diff(bounds), [], [], []
                 for d in range(hi - lo):
                     words = data[offsets[d] : offsets[d + 1]].tobytes().split()
                     starts = ends = np.zeros(0, np.int64)
                     if found[lo + d]:
-                        blobs = [x["hashes"] for x in found[lo + d] if x["hashes"] is not None]
-                        if blobs:
-                            gone = np.isin(hashes[edge[d] : edge[d + 1]], np.frombuffer(b"".join(blobs), np.uint64))
+                        shared = _shared(found[lo + d])
+                        remove = shared[shared & np.uint64(1) == 0] >> np.uint64(1)
+                        if len(remove):
+                            f = _print(hashes[edge[d] : edge[d + 1]])
+                            gone = np.isin(f, remove)
+                            if keep[lo + d]:
+                                c, pairs = checks()[edge[d] : edge[d + 1]], {(x["hash"], x["check"]) for x in keep[lo + d]}
+                                for i in np.flatnonzero(gone).tolist():
+                                    gone[i] = (int(f[i]), int(c[i : i + 1].view(np.int64)[0])) not in pairs
                             starts = np.flatnonzero(gone)
                             ends = starts + width
                         for x in found[lo + d]:
@@ -281,20 +399,32 @@ def _kept(width: int):
     return run
 
 
+def _chars(docs: DataFrame, rows: DataFrame) -> int:
+    """About how many characters of text there are: the size of the files where Spark knows it, else counted."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else rows.agg(F.sum(F.length("text"))).first()[0] or 0
+
+
 def repeated_passages(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, removed (maximal intervals of word numbers, end excluded) and kept_text (kept words joined by a space)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
-    words = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = partitions(spark)
-    bits = min(30, max(4, math.ceil(math.log2(max(16 * n, words / 6 / BUCKET_WINDOWS)))))
+    size = _chars(docs, rows)
+    n = max(partitions(docs.sparkSession), size // PARTITION_CHARS)
+    bits = min(30, PRINT_BITS, max(4, math.ceil(math.log2(max(16 * n, size / 4 / BUCKET_WINDOWS)))))
+
+    def dealt(df):
+        return df.repartition(n, "bucket").sortWithinPartitions("bucket")
+
     pairs = rows.where(F.col("doc_id").isNotNull()).mapInArrow(_pairs(width, bits), _PAIRS)
-    dealt = pairs.repartition(n, "bucket").sortWithinPartitions("bucket")
-    answers = dealt.mapInArrow(_answers(max(4, math.ceil(math.log2(2 * n)))), _PAIRS)
-    answers = answers.repartition(n, "bucket").sortWithinPartitions("bucket")
+    answers = dealt(dealt(pairs).mapInArrow(_answers(bits), _PAIRS))
     found = answers.mapInArrow(_by_document, "found_id long, found array<struct<version:long,hashes:binary,spans:binary>>")
+    # Read twice, all rows and columns both times: so Spark moves the texts and what was found once and reuses the exchanges.
     joined = rows.join(found, rows["doc_id"] == found["found_id"], "left").drop("found_id")
-    return joined.mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
+    checks = dealt(joined.mapInArrow(_checks(width, bits), _CHECKS))
+    odd = checks.mapInArrow(_exceptions, "keep_id long, hash long, check long")
+    keep = odd.groupBy("keep_id").agg(F.collect_list(F.struct("hash", "check")).alias("keep"))
+    last = joined.join(keep, joined["doc_id"] == keep["keep_id"], "left").drop("keep_id")
+    return last.mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
 
 
 def op9_substrings(spark, sf_dir: str) -> DataFrame:
