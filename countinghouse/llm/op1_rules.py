@@ -24,9 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-SPACES = " \t\n\u000b\f\r"
-SYMBOLS = "#*$%&|<>"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SPACES, SYMBOLS, CAPITALS = r"[\x20\x09-\x0D]", "[#*$%&|<>]", "[A-Z]"
 WINDOW = 5
 
 
@@ -62,8 +60,8 @@ def bits(names) -> int:
     return sum(1 << order.index(n) for n in set(names))
 
 
-def _length_without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def _covered(windows: Column, width: int) -> Column:
@@ -90,10 +88,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     df = df.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        _length_without(F.col("t"), SPACES).cast("long").alias("word_chars"),
-        (F.length("t") - _length_without(F.col("t"), SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.length("t") - _length_without(F.col("t"), CAPITALS)).cast("long").alias("n_capitals"),
-        F.filter(F.split("t", "\n"), lambda x: _length_without(x, SPACES) > 0).alias("lines"),
+        (F.length("t") - _count(F.col("t"), SPACES)).cast("long").alias("word_chars"),
+        _count(F.col("t"), SYMBOLS).alias("n_symbols"),
+        _count(F.col("t"), CAPITALS).alias("n_capitals"),
+        F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
     starts = F.sequence(F.lit(0), F.size("hashes") - WINDOW)
