@@ -9,8 +9,8 @@ doc_id. Windows are judged on the input.
    both hashes, and merge into intervals; only one (fingerprint, smallest
    document) per window and block is dealt on. A passage held by a third of all
    documents thus costs a row a block, not a row a document.
-2. Fingerprints, the top PRINT_BITS bits of the first hash, are dealt by their
-   own top bits, packed into sorted, delta coded arrays, to buckets of bounded
+2. Fingerprints, the top bits of the first hash (as many as number the windows a
+   thousand times over), are dealt by their own top bits, packed into sorted, delta coded arrays, to buckets of bounded
    size. Where documents share one, the bucket answers: all but the smallest are
    to remove such windows, if the second hash bears it out.
 3. The answers are dealt by groups of documents, packed likewise, and a group
@@ -22,10 +22,12 @@ doc_id. Windows are judged on the input.
 5. Windows that remain to be removed merge with the intervals of step 1 into
    maximal removal intervals.
 
-Buckets, groups and partitions grow with the size of the input. Windows are
-taken for equal if PRINT_BITS + 64 = 112 bits of their hashes agree: n distinct
-windows give about n*n / 2**113 pairs that are by accident, 2e-18 for the 1.4e8
-windows of 0.5 GB and 3e-8 for the 1.6e13 of 100 TB.
+Buckets, groups, partitions and fingerprints grow with the size of the input.
+Windows are taken for equal if a fingerprint of log2(n) + 10 bits and a second
+hash of 64 agree: n distinct windows give about n / 2**75 pairs that do so by
+accident, 4e-15 for the 1.4e8 windows of 0.5 GB and 4e-10 for the 1.6e13 of
+100 TB. Of the windows a thousandth at most share a fingerprint with another by
+accident, and are told apart.
 
 Defined results: a null or empty text has no words; a document without an id
 neither holds nor loses a passage; rows that repeat a doc_id are one document's
@@ -47,8 +49,8 @@ from .words import Hasher, mix, run_starts, spaced_table, text_chunks, word_span
 
 WINDOW = 13
 BLOCK_WINDOWS = 1 << 20
-#: Bits of the first hash by which windows find each other; the second hash confirms.
-PRINT_BITS = 48
+#: Bits of a fingerprint beyond those that number the windows, and the least and the most bits it has.
+SPARE_BITS, LEAST_BITS, MOST_BITS = 10, 32, 56
 #: Windows that a bucket gets on average, at most.
 BUCKET_WINDOWS = 1 << 18
 #: Characters of text a partition has, about, where the session has fewer partitions.
@@ -85,19 +87,24 @@ def merged(starts: np.ndarray, ends: np.ndarray):
     return starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
 
 
-def _print(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(64 - PRINT_BITS)
+class _Prints:
+    """Fingerprints of so many bits and the buckets, 2**bits of them, in which they meet."""
 
+    def __init__(self, size: int, bits: int):
+        self.size, self.bits = size, min(bits, size)
 
-def _bucket(prints: np.ndarray, bits: int) -> np.ndarray:
-    return (prints >> np.uint64(PRINT_BITS - bits)).astype(np.int64)
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - self.size)
+
+    def bucket(self, prints: np.ndarray) -> np.ndarray:
+        return (prints >> np.uint64(self.size - self.bits)).astype(np.int64)
 
 
 class _Block:
     """Windows of some documents, and what they say once the block is full."""
 
-    def __init__(self, width: int, bits: int):
-        self.width, self.bits = width, bits
+    def __init__(self, width: int, prints: _Prints):
+        self.width, self.prints = width, prints
         self.clear()
 
     def clear(self):
@@ -138,9 +145,9 @@ class _Block:
         for a, b in zip(edges, np.append(edges[1:], len(row))):
             s, e = merged(at[a:b], at[a:b] + self.width)
             r = row[a]
-            out.append((int(_group(ids[r : r + 1], self.bits)[0]), int(ids[r]), int(versions[r]), None, np.concatenate([s, e]).astype(np.int32).tobytes()))
-        prints, doc = _print(h[new]), doc[new]
-        bucket = _bucket(prints, self.bits)
+            out.append((int(_group(ids[r : r + 1], self.prints.bits)[0]), int(ids[r]), int(versions[r]), None, np.concatenate([s, e]).astype(np.int32).tobytes()))
+        prints, doc = self.prints.of(h[new]), doc[new]
+        bucket = self.prints.bucket(prints)
         edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         for a, b in zip(edges, np.append(edges[1:], len(prints))):
             out.append((int(bucket[a]), None, None, pack_sorted(prints[a:b]), pack(doc[a:b])))
@@ -163,9 +170,9 @@ class _Windows:
             yield lo, hi, data, offsets, bounds, hashes, checks, docs, first
 
 
-def _pairs(width: int, bits: int):
+def _pairs(width: int, prints: _Prints):
     def run(batches):
-        windows, block = _Windows(width), _Block(width, bits)
+        windows, block = _Windows(width), _Block(width, prints)
         for batch in batches:
             ids, versions = batch["doc_id"].to_numpy(zero_copy_only=False), batch["version"].to_numpy(zero_copy_only=False)
             for lo, hi, _, _, bounds, hashes, checks, docs, first in windows.chunks(batch["text"]):
@@ -284,8 +291,11 @@ def _shared(found) -> np.ndarray:
 _CHECKS = "bucket int, hashes binary, docs binary, checks binary"
 
 
-def _checks(width: int, bits: int):
-    """From documents and what was found for them, rows by bucket: packed (fingerprints, documents, second hashes) of their shared windows."""
+def _checks(width: int, prints: _Prints):
+    """From documents and what was found for them, rows by bucket: packed (fingerprints, documents, second hashes) of their shared windows.
+
+    Of windows with both hashes in common a block hands on the smallest document only: the others lose theirs either way.
+    """
 
     def run(batches):
         windows, held, size = _Windows(width), [], 0
@@ -293,11 +303,11 @@ def _checks(width: int, bits: int):
         def out():
             f, d, c = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order = np.lexsort((c, d, f))
+            order = np.lexsort((d, c, f))
             f, d, c = f[order], d[order], c[order]
-            new = np.append(True, (f[1:] != f[:-1]) | (d[1:] != d[:-1]) | (c[1:] != c[:-1]))
+            new = np.append(True, (f[1:] != f[:-1]) | (c[1:] != c[:-1]))
             f, d, c = f[new], d[new], c[new]
-            bucket = _bucket(f, bits)
+            bucket = prints.bucket(f)
             edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             both = list(zip(edges, np.append(edges[1:], len(f))))
             blobs = [pa.array(x, pa.binary()) for x in ([pack_sorted(f[a:b]) for a, b in both], [pack(d[a:b]) for a, b in both], [c[a:b].tobytes() for a, b in both])]
@@ -311,7 +321,7 @@ def _checks(width: int, bits: int):
                     shared = _shared(found[lo + d])
                     if not len(shared):
                         continue
-                    f = _print(hashes[edge[d] : edge[d + 1]])
+                    f = prints.of(hashes[edge[d] : edge[d + 1]])
                     at = np.flatnonzero(np.isin(f, shared >> np.uint64(1)))
                     if len(at):
                         c = checks() if c is None else c
@@ -349,13 +359,13 @@ def _exceptions(batches):
             if bucket != now and held:
                 yield settle()
             now = bucket
-            prints = unpack_sorted(h)
-            held.append((prints, unpack(d, len(prints), np.int64), np.frombuffer(c, np.uint64)))
+            f = unpack_sorted(h)
+            held.append((f, unpack(d, len(f), np.int64), np.frombuffer(c, np.uint64)))
     if held:
         yield settle()
 
 
-def _kept(width: int):
+def _kept(width: int, prints: _Prints):
     def run(batches):
         windows = _Windows(width)
         for batch in batches:
@@ -370,7 +380,7 @@ def _kept(width: int):
                         shared = _shared(found[lo + d])
                         remove = shared[shared & np.uint64(1) == 0] >> np.uint64(1)
                         if len(remove):
-                            f = _print(hashes[edge[d] : edge[d + 1]])
+                            f = prints.of(hashes[edge[d] : edge[d + 1]])
                             gone = np.isin(f, remove)
                             if keep[lo + d]:
                                 c, pairs = checks()[edge[d] : edge[d + 1]], {(x["hash"], x["check"]) for x in keep[lo + d]}
@@ -405,26 +415,33 @@ def _chars(docs: DataFrame, rows: DataFrame) -> int:
     return known if known < 1 << 60 else rows.agg(F.sum(F.length("text"))).first()[0] or 0
 
 
-def repeated_passages(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, removed (maximal intervals of word numbers, end excluded) and kept_text (kept words joined by a space)."""
+def repeated_passages(docs: DataFrame, width: int = WINDOW, print_bits: int | None = None) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, removed (maximal intervals of word numbers, end excluded) and kept_text (kept words joined by a space).
+
+    print_bits: bits of a fingerprint; by the size of the input if not given. Results don't depend on it.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
     size = _chars(docs, rows)
     n = max(partitions(docs.sparkSession), size // PARTITION_CHARS)
-    bits = min(30, PRINT_BITS, max(4, math.ceil(math.log2(max(16 * n, size / 4 / BUCKET_WINDOWS)))))
+    if print_bits is None:
+        print_bits = min(MOST_BITS, max(LEAST_BITS, SPARE_BITS + math.ceil(math.log2(max(1, size / 4)))))
+    # Buckets: a few for each partition, more where one would hold too much.
+    full = size / 4 / BUCKET_WINDOWS
+    prints, fewer = (_Prints(print_bits, min(30, max(4, math.ceil(math.log2(max(k * n, full)))))) for k in (16, 2))
 
     def dealt(df):
         return df.repartition(n, "bucket").sortWithinPartitions("bucket")
 
-    pairs = rows.where(F.col("doc_id").isNotNull()).mapInArrow(_pairs(width, bits), _PAIRS)
-    answers = dealt(dealt(pairs).mapInArrow(_answers(bits), _PAIRS))
+    pairs = rows.where(F.col("doc_id").isNotNull()).mapInArrow(_pairs(width, prints), _PAIRS)
+    answers = dealt(dealt(pairs).mapInArrow(_answers(prints.bits), _PAIRS))
     found = answers.mapInArrow(_by_document, "found_id long, found array<struct<version:long,hashes:binary,spans:binary>>")
     # Read twice, all rows and columns both times: so Spark moves the texts and what was found once and reuses the exchanges.
     joined = rows.join(found, rows["doc_id"] == found["found_id"], "left").drop("found_id")
-    checks = dealt(joined.mapInArrow(_checks(width, bits), _CHECKS))
+    checks = dealt(joined.mapInArrow(_checks(width, fewer), _CHECKS))
     odd = checks.mapInArrow(_exceptions, "keep_id long, hash long, check long")
     keep = odd.groupBy("keep_id").agg(F.collect_list(F.struct("hash", "check")).alias("keep"))
     last = joined.join(keep, joined["doc_id"] == keep["keep_id"], "left").drop("keep_id")
-    return last.mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
+    return last.mapInArrow(_kept(width, prints), "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
 
 
 def op9_substrings(spark, sf_dir: str) -> DataFrame:
