@@ -5,9 +5,13 @@ the weights to the target share of each source, then of each language, then of
 each topic, until every value's share is within DISTANCE of its target (or
 SWEEPS rounds are over, where targets contradict each other or the cells); the
 distance reached is returned with the cells. A document is then drawn with its
-cell's weight divided by the largest weight, so that the expected token shares
-of the sample are the targets that raking reached. The draw is a hash of the
-document's id: the same on every run and for every copy of a row.
+cell's weight divided by a common scale, so that the expected token shares of
+the sample are the targets that raking reached. The scale is the weight below
+which all but WHOLE of the tokens lie (to a 16th of a doubling); the few cells
+above it are kept whole, which moves a share by less than WHOLE. With the
+largest weight as the scale one rare cell would thin out all others, the more
+the larger the corpus. The draw is a hash of the document's id: the same on
+every run and for every copy of a row.
 
 Topics are a column or expression of the caller's; by default a document's
 topic is its form, told by measured shares: table, symbols, capitals, list,
@@ -38,7 +42,7 @@ from .common import cut, table
 MARGINS = ("source", "lang", "topic")
 #: Rounds at most, rounds between two looks at the distance, and the largest difference of a share from its target that counts as met.
 SWEEPS, LOOK, DISTANCE = 200, 4, 1e-11
-TEMPERATURE, SEED = 0.9, "mix-1"
+TEMPERATURE, SEED, WHOLE = 0.9, "mix-1", 0.01
 #: Decimal places of weights and probabilities.
 PLACES = 6
 #: Most cells that are raked in one partition and broadcast.
@@ -121,14 +125,23 @@ def rake(cells: DataFrame, margins=MARGINS, targets: dict | None = None, tempera
     return cells.select(*margins, "mass", *[f"goal_{m}" for m in margins], "weight", F.lit(distance).alias("distance"))
 
 
+def _scale(cells: DataFrame) -> DataFrame:
+    """One row: scale, the weight whose documents are just certain; from the mass by steps of the weight, some hundred rows at most."""
+    steps = cells.where("mass > 0 AND weight > 0").groupBy(F.floor(16 * F.log2("weight")).alias("step")).agg(F.sum("mass").alias("mass"))
+    steps = steps.withColumn("upto", F.sum("mass").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
+    total = steps.agg(F.sum("mass").alias("all"))
+    held = steps.crossJoin(F.broadcast(total)).where(F.col("upto") >= (1 - WHOLE) * F.col("all"))  # a single number
+    return held.agg(F.pow(F.lit(2.0), (F.min("step") + 1) / 16).alias("scale"))
+
+
 def probabilities(rows: DataFrame, targets: dict | None = None) -> DataFrame:
-    """The margins of each cell with its weight and the probability of its documents."""
+    """The margins of each cell with its weight (1: just certain to be drawn) and the probability of its documents."""
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("mass"))
     raked = cut(rake(cells, targets=targets))
-    top = raked.where("mass > 0").agg(F.max("weight").alias("top"))
-    out = raked.crossJoin(F.broadcast(top))  # a single number
-    share = F.when(F.col("mass") == 0, 1.0).when(F.col("top") > 0, F.col("weight") / F.col("top")).otherwise(0.0)
-    return out.select(*MARGINS, F.round(F.when(F.col("mass") == 0, 0.0).otherwise(F.col("weight") / F.col("top")), PLACES).alias("weight"), F.round(share, PLACES).alias("probability"))
+    out = raked.crossJoin(F.broadcast(_scale(raked)))  # a single number
+    weight = F.coalesce(F.when(F.col("mass") > 0, F.col("weight") / F.col("scale")), F.lit(0.0))
+    share = F.when(F.col("mass") > 0, F.least(weight, F.lit(1.0))).otherwise(1.0)
+    return out.select(*MARGINS, F.round(weight, PLACES).alias("weight"), F.round(share, PLACES).alias("probability"))
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -186,10 +199,13 @@ def _oracle(sweeps: int = 40) -> str:
     parts.append(f"""s AS (SELECT 0 AS k, * FROM w0 UNION ALL
   SELECT k + 1, source, lang, topic, mass, goal_source, goal_lang, goal_topic, CASE WHEN total > 0 THEN weight * goal / total ELSE weight END
   FROM (SELECT *, sum(weight * mass) OVER (PARTITION BY {value}) AS total, {goal} AS goal FROM s) WHERE k < {len(MARGINS) * sweeps})""")
-    parts.append(f"p AS (SELECT *, max(weight) FILTER (WHERE mass > 0) OVER () AS top FROM s WHERE k = {len(MARGINS) * sweeps})")
+    parts.append(f"p AS MATERIALIZED (SELECT * FROM s WHERE k = {len(MARGINS) * sweeps})")
+    parts.append("t AS (SELECT CAST(floor(16 * log2(weight)) AS BIGINT) AS step, sum(mass) AS mass FROM p WHERE mass > 0 AND weight > 0 GROUP BY step)")
+    parts.append("m AS (SELECT step, sum(mass) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) AS upto, sum(mass) OVER () AS total FROM t)")
+    parts.append(f"e AS (SELECT pow(2::DOUBLE, (min(step) + 1) / 16::DOUBLE) AS scale FROM m WHERE upto >= (1 - {WHOLE}::DOUBLE) * total)")
     parts.append(
-        f"q AS (SELECT source, lang, topic, round(CASE WHEN mass = 0 THEN 0 ELSE weight / top END, {PLACES}) AS weight, "
-        f"round(CASE WHEN mass = 0 THEN 1 WHEN top > 0 THEN weight / top ELSE 0 END, {PLACES}) AS probability FROM p)"
+        f"q AS (SELECT source, lang, topic, round(CASE WHEN mass > 0 THEN coalesce(weight / scale, 0) ELSE 0 END, {PLACES}) AS weight, "
+        f"round(CASE WHEN mass > 0 THEN least(coalesce(weight / scale, 0), 1) ELSE 1 END, {PLACES}) AS probability FROM p, e)"
     )
     return (
         "WITH RECURSIVE " + ",\n".join(parts) + "\nSELECT r.doc_id, r.source, r.lang, r.topic, n_tokens, weight, probability, "
