@@ -20,9 +20,9 @@ All counts are tables that are joined by word, host or path. Urls are first
 grouped by host and by path, so that a host with a third of all urls is a row
 in these joins. A label meets the dictionary by its pieces of up to PIECE
 letters; longer words meet it by their first PIECE letters and are compared
-whole, so words may have any length. A table of at most SENT rows (counted) is
-broadcast, a larger one joined over a shuffle: the same join either way.
-Costs are whole millionths and odds decimals, so sums don't depend on order.
+whole, so words may have any length. No join asks for a broadcast; Spark
+broadcasts a side whose measured size is below its own threshold. Costs are
+whole millionths and odds decimals, so sums don't depend on order.
 
 Defined results: a null url, or one without `://`, has an empty host and path
 and no words, score 0, and is allowed; hosts keep letters beyond ASCII, which
@@ -49,8 +49,8 @@ SEED_COUNT, UNKNOWN = 50, 12_000_000
 #: Pages that a host needs for its contents to count, and whether a page's content is mostly marks.
 LEAST_PAGES = 3
 BLOCK_CONTENT = "10 * marks > words"
-#: Letters of the pieces by which labels meet the dictionary, and rows of a table that is broadcast, at most.
-PIECE, SENT = 24, 100_000
+#: Letters of the pieces by which labels meet the dictionary.
+PIECE = 24
 _SEPARATOR = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 _MARKS, _WORD = r"[#*$%]{3}|!!", r"[^\x20\x09-\x0D]+"
 
@@ -90,11 +90,6 @@ def parts_of(text: Column) -> Column:
     return F.filter(F.split(text, _SEPARATOR), lambda x: x != "")
 
 
-def _small(df: DataFrame, sent: int) -> DataFrame:
-    """df, to be broadcast if it has at most `sent` rows."""
-    return F.broadcast(df) if df.limit(sent + 1).count() <= sent else df
-
-
 def dictionary(hosts: DataFrame, paths: DataFrame, seeds=SEEDS) -> DataFrame:
     """(word, cost) of the words that separators set apart in hosts and paths (with n urls each), and of the seeds."""
     labels = F.filter(F.split("host", r"\."), lambda x: F.contains(x, F.lit("-")))
@@ -159,11 +154,11 @@ def _split(batches):
         yield pa.RecordBatch.from_arrays([batch["label"], pa.array(words, pa.list_(pa.string()))], ["label", "words"])
 
 
-def segmented(labels: DataFrame, words: DataFrame, sent: int = SENT) -> DataFrame:
+def segmented(labels: DataFrame, words: DataFrame) -> DataFrame:
     """(label, words): the cheapest split of each distinct label, by a dictionary (word, cost)."""
     labels = labels.select("label", F.md5(F.col("label").cast("binary")).alias("label_id"))
     pieces = labels.select("label_id", "label").mapInArrow(_pieces, "label_id string, start int, piece string")
-    known = _small(words.select(F.substring("word", 1, PIECE).alias("key"), "word", "cost"), sent)
+    known = words.select(F.substring("word", 1, PIECE).alias("key"), "word", "cost")
     met = pieces.join(known, pieces["piece"] == known["key"])
     found = met.groupBy(F.col("label_id").alias("found_id")).agg(F.collect_list(F.struct("start", "word", "cost")).alias("found"))
     return labels.join(found, labels["label_id"] == found["found_id"], "left").select("label", "found").mapInArrow(_split, "label string, words array<string>")
@@ -173,10 +168,10 @@ def _counted(word: Column) -> Column:
     return ~word.rlike("^[0-9]+$")
 
 
-def host_words(hosts: DataFrame, words: DataFrame, sent: int = SENT) -> DataFrame:
+def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
     """(host, words): the words of each host's labels, in order."""
     parts = cut(hosts.select("host", F.posexplode(parts_of(F.col("host"))).alias("place", "part")))
-    split = segmented(parts.select(F.col("part").alias("label")).distinct(), words, sent)
+    split = segmented(parts.select(F.col("part").alias("label")).distinct(), words)
     out = parts.join(split, parts["part"] == split["label"]).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "words"))).alias("w"))
     return out.select("host", F.flatten(F.transform("w", lambda x: x["words"])).alias("words"))
 
@@ -192,7 +187,7 @@ def _odds(hosts: DataFrame, pairs: DataFrame) -> DataFrame:
     return counts.select("word", F.round(odds, 9).cast("decimal(20,9)").alias("odds"))
 
 
-def filter_urls(pages: DataFrame, rules=RULES, seeds=SEEDS, learn: Column | None = None, sent: int = SENT) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, seeds=SEEDS, learn: Column | None = None) -> DataFrame:
     """Per row: page_id, host, path, rule, words (segmented host and path), score (log odds of block) and verdict.
 
     learn: which rows of (page_id, host, path, rule, spam) the counts are taken from; all if it isn't given.
@@ -203,27 +198,26 @@ def filter_urls(pages: DataFrame, rules=RULES, seeds=SEEDS, learn: Column | None
     hosts = cut(urls.groupBy("host").agg(F.lit(1).alias("any")).join(seen.groupBy("host").agg(*numbers), "host", "left").drop("any").na.fill(0))
     pairs = cut(seen.groupBy("host", "path").agg(F.count("*").alias("n")))
     words = dictionary(hosts.where("n > 0"), pairs.groupBy("path").agg(F.sum("n").alias("n")), seeds)
-    split = host_words(hosts, words, sent)
+    split = host_words(hosts, words)
     content = (F.col("n") >= LEAST_PAGES) & (2 * F.col("spam") >= F.col("n"))
     seeded = F.coalesce(F.arrays_overlap("words", F.array(*[F.lit(w) for w in seeds])), F.lit(False)) if seeds else F.lit(False)
     hosts = hosts.join(split, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
     hosts = cut(hosts.select("host", "n", "words", (seeded | content).alias("block")))
-    blocks = _small(hosts.select("host", "block"), sent)
+    blocks = hosts.select("host", "block")
     path_words = F.filter(parts_of(lower_ascii(F.col("path"))), _counted)
     pairs = pairs.join(blocks, "host").groupBy("path", "block").agg(F.sum("n").alias("n")).withColumn("path_words", path_words)
     odds = cut(_odds(hosts.where("n > 0"), pairs))
-    known = _small(odds, sent)
 
     def scored(rows: DataFrame, key: str, name: str) -> DataFrame:
         """rows (key, words) with the sum of their words' odds."""
-        each = rows.select(key, F.explode("words").alias("word")).join(known, "word")
+        each = rows.select(key, F.explode("words").alias("word")).join(odds, "word")
         return rows.join(each.groupBy(key).agg(F.sum("odds").alias(name)), key, "left").select(key, F.col("words").alias(f"{name}_words"), F.coalesce(name, F.lit(0)).cast("decimal(28,9)").alias(name))
 
     by_host = scored(hosts.select("host", "words"), "host", "host_score")
     by_path = scored(urls.select("path").distinct().withColumn("words", path_words), "path", "path_score")
     sizes = hosts.groupBy("block").agg(F.sum("n").alias("n"))
     prior = sizes.agg((F.log((F.coalesce(F.sum(F.when(F.col("block"), F.col("n"))), F.lit(0)) + 1) / (F.coalesce(F.sum(F.when(~F.col("block"), F.col("n"))), F.lit(0)) + 1))).alias("prior"))
-    out = urls.drop("spam").join(_small(by_host, sent), "host").join(_small(by_path, sent), "path").crossJoin(F.broadcast(prior))  # a number
+    out = urls.drop("spam").join(by_host, "host").join(by_path, "path").crossJoin(F.broadcast(prior))  # a number
     score = (F.round("prior", 9).cast("decimal(20,9)") + F.col("host_score") + F.col("path_score")).cast("double")
     out = out.withColumn("words", F.concat("host_score_words", "path_score_words"))
     out = out.withColumn("score", F.when(F.size("words") > 0, score).otherwise(F.lit(0.0)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from countinghouse.llm import op1_rules, op2_quality, op3_near, op4_replies, op5_urls, op6_decontaminate, op7_licences, op8_mixing, op9_substrings, op10_lines, registry
-from countinghouse.llm.common import table
+from countinghouse.llm.common import checkpoint_folder, table
 from countinghouse.llm.graph import components
 from countinghouse.llm.licence_texts import TEXTS
 from countinghouse.llm.words import Hasher, run_starts, spaced_table, text_chunks, word_spans
@@ -61,9 +61,10 @@ def test_rules(docs, rows, empty, repeated):
 
 
 def test_ablation(docs):
-    entries = op1_rules.ledger(docs).collect()
+    stored = op1_rules.stored(op1_rules.ledger(docs))
+    entries = stored.collect()
     mask = op1_rules.bits(op1_rules.POLICIES["v2"])
-    for r in op1_rules.ablation(op1_rules.ledger(docs)).collect():
+    for r in op1_rules.ablation(stored).collect():
         bit = op1_rules.bits([r["rule"]])
         assert r["n_failed"] == sum(bool(e["fail_bits"] & bit) for e in entries)
         assert r["n_only"] == sum(e["fail_bits"] & mask == bit for e in entries)
@@ -103,23 +104,81 @@ def test_quality_ignores_held_out_labels(spark, sf):
     assert np.array_equal(op2_quality.train(docs, labels).weights, op2_quality.train(docs, flipped).weights)
 
 
+def test_quality_learns_from_positives_only(spark, sf):
+    """Without its quality-0 labels, or with them empty, the model is the same."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = op2_quality.train(docs, labels)
+    for fewer in (labels.where("quality = 1"), labels.withColumn("quality", F.when(F.col("quality") == 1, 1))):
+        other = op2_quality.train(docs, fewer)
+        assert np.array_equal(model.weights, other.weights) and (model.intercept, model.prior) == (other.intercept, other.prior)
+
+
+def test_quality_prior_is_estimated(spark):
+    sf = "/root/testdata/sf0.1"
+    model = op2_quality.train(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    assert abs(model.prior - table(spark, sf, "labels").agg(F.avg("quality")).first()[0]) < 0.03
+
+
 def test_quality_of_awkward_rows(spark, docs, empty, repeated):
     labels = spark.createDataFrame([(18, 1), (18, 0), (22, 1), (None, 1), (20, None), (19, 1)], "doc_id long, quality int")
     model = op2_quality.train(docs, labels)
     for df in (docs, empty, repeated):
-        out = op2_quality.score(df, model).collect()
+        out = op2_quality.score(op2_quality.features(df), model).collect()
         assert len(out) == df.count() and all(0 <= r["score"] <= 1 for r in out)
+        op2_quality.train(df, labels)
     blank = op2_quality.train(empty, labels.limit(0))
-    assert {r["score"] for r in op2_quality.score(docs, blank).collect()} == {0.5}
+    assert {r["score"] for r in op2_quality.score(op2_quality.features(docs), blank).collect()} == {0.5}
+    assert {r["score"] for r in op2_quality.score(op2_quality.features(docs), op2_quality.train(docs, labels.limit(0))).collect()} == {0.5}
     assert op2_quality.drop_rejected(docs, model).columns == docs.columns
 
 
+def _mixture(rng, n, share=0.6):
+    good = rng.random(n) < share
+    return np.hstack([rng.normal(np.where(good, 1.5, -1.5)[:, None], 1, (n, 4)), np.ones((n, 1))]), good
+
+
+def test_risk_and_gradient_by_brute_force():
+    """The sums give the non-negative risk as its formula says row by row, and its gradient as differences do."""
+    rng = np.random.default_rng(1)
+    x, _ = _mixture(rng, 60)
+    part, w, prior, ridge = rng.integers(0, 5, 60), rng.normal(size=5), 0.55, 0.07
+
+    def by_rows(w):
+        loss = lambda z, y: np.log1p(np.exp(-y * z))
+        positive = [i for i in range(60) if 1 <= part[i] <= 3]
+        r_p = lambda y: sum(loss(x[i] @ w, y) for i in positive) / len(positive)
+        second = sum(loss(x[i] @ w, -1) for i in range(60)) / 60 - prior * r_p(-1)
+        return prior * r_p(1) + second + ridge * (w[:4] ** 2).sum() / 2, second
+
+    sums = op2_quality.risk_sums(x[:25] @ w, x[:25], part[:25], 3) + op2_quality.risk_sums(x[25:] @ w, x[25:], part[25:], 3)
+    value, second, gradient, curvature = op2_quality.risk(sums, w, prior, ridge)
+    assert np.allclose((value, second), by_rows(w))
+    step = 1e-5
+    differences = [(by_rows(w + step * e)[0] - by_rows(w - step * e)[0]) / (2 * step) for e in np.eye(5)]
+    assert np.allclose(gradient, differences, atol=1e-6)
+    bends = [[(by_rows(w + step * (a + b))[0] - by_rows(w + step * (a - b))[0] - by_rows(w - step * (a - b))[0] + by_rows(w - step * (a + b))[0]) / (4 * step * step) for a in np.eye(5)] for b in np.eye(5)]
+    assert np.allclose(curvature, bends, atol=1e-3)
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(0)
-    positive = rng.normal(1.5, 1, (800, 3))
-    unlabelled = np.concatenate([rng.normal(1.5, 1, (600, 3)), rng.normal(-1.5, 1, (400, 3))])
-    model = op2_quality.fit(positive, unlabelled, 0.6)
-    assert (model.scores(unlabelled[:600]) > 0.5).mean() > 0.95 and (model.scores(unlabelled[600:]) < 0.5).mean() > 0.95
+    x, good = _mixture(rng, 4000)
+    part = np.where(good & (rng.random(4000) < 0.3), rng.integers(1, 5, 4000), 0)
+    added = lambda w: op2_quality.risk_sums(x @ w, x, part, 4)
+    w, ridge = op2_quality.fit(added, 4, 0.6)
+    assert op2_quality.risk(added(w), w, 0.6, ridge)[1] >= 0
+    assert ((x @ w > 0) == good).mean() > 0.95
+    # Few rows in many dimensions: the unbiased risk alone would fall below zero; the ridge grows until its term doesn't.
+    noise = np.hstack([rng.normal(size=(40, 30)), np.ones((40, 1))])
+    few = lambda w: op2_quality.risk_sums(noise @ w, noise, np.arange(40) % 5, 4)
+    w, ridge = op2_quality.fit(few, 30, 0.9)
+    assert ridge > op2_quality.RIDGE and op2_quality.risk(few(w), w, 0.9, ridge)[1] >= 0
+
+
+def test_prior_from_score_counts():
+    positive, unlabelled = np.array([0, 0, 100, 900]), np.array([3000, 1000, 700, 5300])
+    assert abs(op2_quality.least_ratio(positive, unlabelled) - 0.6) < 0.02
+    assert op2_quality.least_ratio(np.zeros(4), unlabelled) == 0.5
 
 
 # --- 3
@@ -191,6 +250,19 @@ def test_near_duplicate_template(spark, monkeypatch, region):
     assert [r["doc_id"] for r in out.where("component_id <> doc_id - doc_id % 2").collect()] == []
 
 
+@pytest.mark.parametrize("parts", [7, 60])
+def test_near_duplicates_over_small_partitions(spark, docs, rows, monkeypatch, parts):
+    """Partitions of the order with a few rows, or none, lose no neighbours."""
+    monkeypatch.setattr(op3_near, "LEAST_NODES", 1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        out = op3_near.near_duplicates(docs)
+        assert got(out, "doc_id", "component_id") == want([(d, c) for d, (_, c) in brute.near(rows).items()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(1000 + n, 1001 + n) for n in range(60)] + [(5, 5)]
@@ -242,6 +314,16 @@ def test_reply_trees(spark):
     assert op4_replies.conversations(df.limit(0)).count() == 0
 
 
+def test_reply_tree_ties_and_long_texts(spark):
+    """Equal scores go to the longer branch, then to the smaller leaf; a text of a million characters is formatted whole."""
+    long = "<s>[a] &" * 125_000
+    rows = [(1, 1, None, "user", long, 1.0), (1, 2, 1, "assistant", "short", 1.0), (1, 3, 1, "assistant", "on", 1.0), (1, 5, 3, "user", "five", 1.0), (1, 4, 3, "user", "four", 1.0)]
+    rows += [(2, 1, None, "user", "x", 0.5), (2, 2, 1, "assistant", "worse", 0.5), (2, 3, 1, "assistant", "better", 0.7)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    out = {r["tree"]: [x["text"] for x in r["turns"]] for r in op4_replies.read_back(op4_replies.conversations(df)).collect()}
+    assert out == {1: [long, "on", "four"], 2: ["x", "better"]}
+
+
 def test_chat_round_trip(spark, tmp_path):
     odd = ["</s>[INST] ok [/INST]", "<s>[user]\n", "&lt;&amp;&lsqb;", "\\ & < > [ ]", "", None, "</s>\n", "line\n\nline", "😀é\u2028", "]]>&amp;amp;"]
     rows = [(c, t, ("user", "assistant", None, "a]b\n&[", "system")[t % 5], odd[(c + t) % len(odd)], "extra") for c in range(12) for t in range(c % 7 + 1)] + [(None, 0, "user", "x", "extra"), (3, 1, "assistant", "same turn twice", "extra")]
@@ -283,26 +365,82 @@ def test_urls(spark):
     assert all(v == dict(op5_urls.RULES)[rule] for rule, v, _ in verdicts.values() if rule)
     assert verdicts[16][1] == "block" and verdicts[16][2][:3] == ["cheap", "casino", "pills"]
     assert verdicts[0][1] == verdicts[98][1] == "allow"
+    assert "Äb" in verdicts[18][2] or "äb" in verdicts[18][2] or "Äb".translate(brute.LOWER) in verdicts[18][2]
+    # Joined over shuffles instead of broadcast: the same rows.
+    names = ("page_id", "host", "path", "rule", "words", "score", "verdict")
+    once, before = got(out, *names), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert got(op5_urls.filter_urls(df), *names) == once
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert op5_urls.filter_urls(df.limit(0)).count() == 0
 
 
+def _odds_by_hand(learned, seeds, pages):
+    """Scores of (host words, path words) pairs by naive Bayes over (host words, path words) pairs."""
+    from math import log
+
+    counts, urls = Counter(), Counter()
+    for host, path in learned:
+        block = any(w in seeds for w in host)
+        urls[block] += 1
+        counts.update((w, block) for w in [*host, *path] if not w.isdigit())
+    words = {w for w, _ in counts}
+    total = {k: sum(counts[w, k] for w in words) + len(words) for k in (True, False)}
+    odds = {w: round(log((counts[w, True] + 1) / total[True]) - log((counts[w, False] + 1) / total[False]), 9) for w in words}
+    prior = round(log((urls[True] + 1) / (urls[False] + 1)), 9)
+    return [prior + sum(odds.get(w, 0.0) for w in [*host, *path]) if host or path else 0.0 for host, path in pages]
+
+
+def test_url_scores_by_brute_force(spark):
+    """Score and verdict against counts by hand; words of urls that weren't learned from weigh nothing."""
+    r = random.Random(8)
+    sites = [["cheap", "pills"], ["free", "casino"], ["good", "news"], ["book", "shop"], ["old", "maps"]]
+    learned = [(r.choice(sites), r.choices(["buy", "read", "7", "map", "now"], k=r.randint(0, 3))) for _ in range(80)]
+    new = [(["cheap", "news"], ["fresh", "buy"]), (["unseen", "host"], []), (["good", "maps"], ["unheard", "of"])]
+    rows = [(n, f"http://{'-'.join(h)}/{'/'.join(p)}") for n, (h, p) in enumerate(learned + new)]
+    out = op5_urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=(), learn=F.col("page_id") < 80)
+    wanted = _odds_by_hand(learned, set(op5_urls.SEEDS), learned + new)
+    for x in out.collect():
+        assert abs(x["score"] - wanted[x["page_id"]]) < 1e-6 and x["verdict"] == ("block" if x["score"] > 0 else "allow")
+
+
+def test_url_verdicts_on_held_back_urls(spark):
+    """Learned from three quarters of the urls, the verdicts on the others agree with their hosts' labels."""
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    back = F.pmod(F.xxhash64(F.col("page_id")), F.lit(4)) == 0
+    rows = op5_urls.filter_urls(pages, rules=(), learn=~back).where(back).collect()
+    block = [any(w in op5_urls.SEEDS for w in r["words"][:4]) for r in rows]
+    said = [r["verdict"] == "block" for r in rows]
+    assert sum(block) > 10 and sum(b and s for b, s in zip(block, said)) >= 0.95 * sum(block)
+    assert sum(s and not b for b, s in zip(block, said)) <= 0.05 * len(rows)
+
+
+def test_urls_of_any_length(spark):
+    """A host of 3,000 letters, a dictionary word of 60 letters that another host has inside, and content that marks a host."""
+    word = "abcdefghij" * 6
+    rows = [(1, f"http://x.example.org/{word}/a", None), (2, f"http://cheap{word}pills.example.org/", None), (3, f"http://{'q' * 3000}.example.org/{'z' * 5000}", None)]
+    rows += [(n, "http://marked.example.org/p", "*** $$$ !!") for n in (4, *range(30, 60))] + [(n, f"http://plain{n}.example.org/p", "all is well here") for n in range(7, 20)]
+    out = {r["page_id"]: r for r in op5_urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[2]["words"][:3] == ["cheap", word, "pills"] and out[3]["words"][0] == "q" * 3000
+    assert out[4]["verdict"] == "block" and out[9]["verdict"] == "allow"
+
+
 def test_viterbi_finds_the_best_split():
-    counts = {"a": 3, "ab": 5, "abc": 2, "bc": 4, "c": 9, "ca": 1}
-    s = op5_urls.Segmenter(counts, ())
+    cost = {"ab": 5, "abc": 9, "bc": 4, "ca": 12_000_001, "dd": 3, "abcabcabcabcabcabcabcabcabcabc": 20}
 
     def splits(x):
         return [[]] if not x else [[x[:n], *rest] for n in range(1, len(x) + 1) for rest in splits(x[n:])]
 
-    def cost(words):
-        return sum(s.cost.get(w, op5_urls.UNKNOWN if len(w) == 1 else 1e9) for w in words)
-
     r = random.Random(4)
-    for _ in range(60):
-        label = "".join(r.choice("abcd") for _ in range(r.randint(1, 8)))
-        found = s.split(label)
-        assert "".join(found) == label
-        loose = sum(op5_urls.UNKNOWN * len(w) if w not in s.cost else s.cost[w] for w in found)
-        assert abs(loose - min(map(cost, splits(label)))) < 1e-9
+    for label in ["".join(r.choice("abcd") for _ in range(r.randint(1, 9))) for _ in range(60)] + ["abc" * 10 + "d"]:
+        found = [(i, w, c) for w, c in cost.items() for i in range(len(label)) if label[i : i + len(w)] == w]
+        words = op5_urls.split_label(label, found + [(0, "nowhere", 1)])
+        assert "".join(words) == label
+        mine = sum(cost.get(w, op5_urls.UNKNOWN * len(w)) for w in words)
+        assert len(label) > 9 or mine == min(sum(cost.get(w, op5_urls.UNKNOWN if len(w) == 1 else 10**12) for w in x) for x in splits(label))
+    assert op5_urls.split_label("abc" * 10 + "d", [(0, "abc" * 10, 20)]) == ["abc" * 10, "d"] and op5_urls.split_label("", []) == []
 
 
 # --- 6
@@ -325,6 +463,23 @@ def test_contamination(spark, docs, rows, empty, repeated):
         assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == clean
 
 
+def test_contamination_in_blocks(spark):
+    """An item longer than a block, string ids, rows without an id and rows that share one: the same in one block and in many."""
+    words = [f"w{n}" for n in range(400)]
+    items = [("b", " ".join(words)), ("a", "five words stand here alone"), ("c", " ".join(words[100:130])), ("c", " ".join(words[100:130]))]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(None, " ".join(words[95:140])), (None, "clean text"), (1, " ".join(words[:12])), (1, " ".join(words[388:])), (2, "x Five words STAND here alone"), (3, " ".join(words))]
+    docs = spark.createDataFrame([(*r, "extra", "extra") for r in rows], "doc_id long, text string, marks string, items string")
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    wanted = brute.contamination(rows, items)
+    for chars in (10**6, 900):
+        n, rows_of = op6_decontaminate.blocks_of(benchmark, 13, chars)
+        assert (n > 1) == (chars < 10**6) and all(sum(len(r["text"]) for r in rows_of(b)) <= chars for b in range(n))
+        assert got(op6_decontaminate.contamination(docs, benchmark, block_chars=chars), *names) == want(wanted)
+        kept = op6_decontaminate.decontaminate(docs, benchmark, block_chars=chars)
+        assert kept.columns == docs.columns and got(kept, "doc_id", "text") == want([r for r, w in zip(rows, wanted) if not w[-1]])
+
+
 PASSAGE_ITEM = " ".join(f"wort{n}" for n in range(60))
 
 
@@ -365,6 +520,28 @@ copyright notice and this permission notice appear in all copies.
     assert [(n, found[n], name) for n, name in enumerate(wanted) if found[n] != name] == []
 
 
+def test_published_licences(spark):
+    """Long licences as a distribution ships them, whole and without the appendix, and a notice on a very long line."""
+    import os
+    import re
+
+    folder, names = "/usr/share/common-licenses", {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = []
+    for file, name in names.items():
+        if os.path.exists(f"{folder}/{file}"):
+            text = open(f"{folder}/{file}").read()
+            terms = re.search("END OF TERMS AND CONDITIONS", text)
+            texts += [(name, text), (name, text.upper()), (name, text[: terms.end()] if terms else text), (None, text[:-40])]
+    texts += [("Unlicense", dict(TEXTS)["Unlicense"]), (None, "Licensed under the Apache License, Version 2.0." + " ," * 5000)]
+    out = op7_licences.scan(spark.createDataFrame([(n, t) for n, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["license_id"] for r in out} == {n: name for n, (name, _) in enumerate(texts)}
+    assert [r["notices"] for r in out if r["doc_id"] == len(texts) - 1] == ["Apache-2.0"]
+
+
+def test_licences_of_repeated_rows(repeated):
+    assert op7_licences.scan(repeated).count() == repeated.count()
+
+
 # --- 8
 
 
@@ -375,7 +552,11 @@ def test_raking_meets_targets(spark):
     rows = op8_mixing.rake(cells, targets=targets).collect()
     for m, goals in targets.items():
         for value, goal in goals.items():
-            assert abs(sum(r["weight"] * r["mass"] for r in rows if r[m] == value) - goal) < 1e-6
+            assert abs(sum(r["weight"] * r["mass"] for r in rows if r[m] == value) - goal) < 1e-10
+    assert {r["distance"] for r in rows} == {rows[0]["distance"]} and rows[0]["distance"] <= op8_mixing.DISTANCE
+    # Targets that contradict the cells: the distance says so.
+    alone = spark.createDataFrame([("a", "en", "p", 1.0), ("b", "de", "q", 1.0)], "source string, lang string, topic string, mass double")
+    assert op8_mixing.rake(alone, targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}}, sweeps=6).first()["distance"] > 0.1
 
 
 def test_mixing(spark, docs, empty, repeated, sf):
@@ -393,7 +574,26 @@ def test_mixing(spark, docs, empty, repeated, sf):
         expected[r["lang"]] += r["n_tokens"] * r["probability"]
     goal = {k: v**op8_mixing.TEMPERATURE for k, v in mass.items()}
     for k in mass:
-        assert abs(expected[k] / sum(expected.values()) - goal[k] / sum(goal.values())) < 0.01
+        assert abs(expected[k] / sum(expected.values()) - goal[k] / sum(goal.values())) < op8_mixing.WHOLE
+    # The cells that are kept whole hold few tokens, and the sample isn't thinned out for them.
+    whole = sum(r["n_tokens"] for r in rows if r["weight"] > 1)
+    assert whole <= op8_mixing.WHOLE * sum(mass.values()) and sum(expected.values()) > 0.4 * sum(mass.values())
+
+
+def test_mixing_with_many_cells(spark, docs, sf, monkeypatch):
+    """The steps over shuffles, for many cells, give what the steps in one partition give."""
+    names = ("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+    for df in (docs, table(spark, sf, "documents")):
+        few, sampled = got(op8_mixing.mix(df), *names), got(op8_mixing.sample(df), "doc_id")
+        with monkeypatch.context() as m:
+            m.setattr(op8_mixing, "CELLS", 0)
+            assert got(op8_mixing.mix(df), *names) == few and got(op8_mixing.sample(df), "doc_id") == sampled
+
+
+def test_mixing_by_given_topics(spark, docs):
+    """A caller's topic stands in for the form of the text."""
+    out = op8_mixing.mix(docs, {"topic": {"x": 1.0}}, F.when(F.col("doc_id") % 2 == 0, "x").otherwise("y"))
+    assert {r["topic"] for r in out.collect()} == {"x", "y"} and not out.where("topic = 'y' AND n_tokens > 0 AND kept AND doc_id IS NOT NULL").count()
 
 
 # --- 9
@@ -419,6 +619,16 @@ def test_passages_across_blocks(docs, rows, monkeypatch):
     assert got(out, "doc_id", "n_words", "n_removed") == want([r[:3] for r in brute.passages(rows)])
 
 
+def test_passages_confirmed_by_the_second_hash(docs, rows, repeated, monkeypatch):
+    """With fingerprints of a few bits almost all windows share one; the second hash keeps them apart."""
+    for width in (13, 3):
+        out = op9_substrings.repeated_passages(docs.repartition(5), width, print_bits=9)
+        assert got(out, "doc_id", "n_words", "n_removed") == want([r[:3] for r in brute.passages(rows, width)])
+    monkeypatch.setattr(op9_substrings, "BLOCK_WINDOWS", 40)
+    again = op9_substrings.repeated_passages(repeated.repartition(4), print_bits=3)
+    assert got(again, "doc_id", "n_words", "n_removed") == want([r[:3] for r in brute.passages([(r["doc_id"], r["text"]) for r in repeated.collect()])])
+
+
 def test_packing():
     r = np.random.default_rng(1)
     for n in (1, 2, 1000):
@@ -432,26 +642,45 @@ def test_packing():
 
 
 def test_lines(docs, rows, empty, repeated, monkeypatch):
-    digest = F.sha2(F.col("kept_text").cast("binary"), 256).alias("sha")
-    names = ("doc_id", "n_lines", "n_dropped", "sha")
-    out = op10_lines.keep_bitmaps(docs, with_text=True).withColumn("sha", digest)
-    assert got(out, *names) == want(brute.lines(rows))
+    names = ("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    assert got(op10_lines.keep_bitmaps(docs), *names) == want(brute.lines(rows))
     monkeypatch.setattr(op10_lines, "BLOCK_LINES", 3)
-    assert got(op10_lines.keep_bitmaps(docs, with_text=True).withColumn("sha", digest), *names) == want(brute.lines(rows))
-    again = op10_lines.keep_bitmaps(repeated, with_text=True).withColumn("sha", digest)
-    assert got(again, *names) == want(brute.lines([(r["doc_id"], r["text"]) for r in repeated.collect()]))
+    out = op10_lines.keep_bitmaps(docs)
+    assert got(out, *names) == want(brute.lines(rows))
+    assert got(op10_lines.keep_bitmaps(repeated), *names) == want(brute.lines([(r["doc_id"], r["text"]) for r in repeated.collect()]))
     assert op10_lines.keep_bitmaps(empty).count() == 0
-    bare = op10_lines.keep_bitmaps(docs)
-    assert "kept_text" not in bare.columns and all(len(op10_lines.unpacked(r["keep_bitmap"], r["n_lines"])) == r["n_lines"] for r in bare.collect())
+    # The bitmap alone gives the kept lines.
+    texts = dict(rows)
+    for r in out.collect():
+        assert brute.sha(op10_lines.apply_bitmap(texts[r["doc_id"]], r["keep_bitmap"])) == r["kept_sha256"]
+        assert len(op10_lines.unpacked(r["keep_bitmap"])) == r["n_lines"]
     applied = op10_lines.drop_repeated_lines(docs)
     assert applied.columns == docs.columns
     shas = {d: s for d, *_, s in brute.lines(rows)}
     assert all(brute.sha(r["text"] or "") == shas[r["doc_id"]] and r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in applied.collect())
 
 
+def test_bitmaps():
+    r = random.Random(9)
+    for n in (1, 2, 7, 300):
+        for _ in range(20):
+            keep = np.array([r.random() < 0.5 for _ in range(n)])
+            assert np.array_equal(op10_lines.unpacked(op10_lines.packed(keep)), keep)
+    assert op10_lines.packed(np.array([False, True, True])) == "0,1,2"
+
+
 # --- pipeline
 
 
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    """A session on a cluster that names no folder is told so."""
+    from types import SimpleNamespace
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"), conf=SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_folder(session)
+
+
 def test_pipeline(spark, sf):
     docs = table(spark, sf, "documents")
     names = [n for n, _ in corpus_pipeline.STAGES]
