@@ -9,8 +9,8 @@ doc_id. Windows are judged on the input.
    both hashes, and merge into intervals; only one (fingerprint, smallest
    document) per window and block is dealt on. A passage held by a third of all
    documents thus costs a row a block, not a row a document.
-2. Fingerprints, the top bits of the first hash (as many as number the windows a
-   thousand times over), are dealt by their own top bits, packed into sorted, delta coded arrays, to buckets of bounded
+2. Fingerprints, the top bits of the first hash (as many as number the windows
+   thousands of times over), are dealt by their own top bits, packed into sorted, delta coded arrays, to buckets of bounded
    size. Where documents share one, the bucket answers: all but the smallest are
    to remove such windows, if the second hash bears it out.
 3. The answers are dealt by groups of documents, packed likewise, and a group
@@ -23,11 +23,11 @@ doc_id. Windows are judged on the input.
    maximal removal intervals.
 
 Buckets, groups, partitions and fingerprints grow with the size of the input.
-Windows are taken for equal if a fingerprint of log2(n) + 10 bits and a second
-hash of 64 agree: n distinct windows give about n / 2**75 pairs that do so by
-accident, 4e-15 for the 1.4e8 windows of 0.5 GB and 4e-10 for the 1.6e13 of
-100 TB. Of the windows a thousandth at most share a fingerprint with another by
-accident, and are told apart.
+Windows are taken for equal if a fingerprint of log2(n) + 13 bits and a second
+hash of 64 agree: n distinct windows give about n / 2**78 pairs that do so by
+accident, 5e-16 for the 1.4e8 windows of 0.5 GB and 5e-11 for the 1.6e13 of
+100 TB. Of the windows one in 8,000 shares a fingerprint with another by
+accident, and is told apart.
 
 Defined results: a null or empty text has no words; a document without an id
 neither holds nor loses a passage; rows that repeat a doc_id are one document's
@@ -50,7 +50,7 @@ from .words import Hasher, mix, run_starts, spaced_table, text_chunks, word_span
 WINDOW = 13
 BLOCK_WINDOWS = 1 << 20
 #: Bits of a fingerprint beyond those that number the windows, and the least and the most bits it has.
-SPARE_BITS, LEAST_BITS, MOST_BITS = 10, 32, 56
+SPARE_BITS, LEAST_BITS, MOST_BITS = 13, 32, 56
 #: Windows that a bucket gets on average, at most.
 BUCKET_WINDOWS = 1 << 18
 #: Characters of text a partition has, about, where the session has fewer partitions.
@@ -371,7 +371,7 @@ def _kept(width: int, prints: _Prints):
         for batch in batches:
             found, versions, keep, ids = batch["found"].to_pylist(), batch["version"].to_pylist(), batch["keep"].to_pylist(), batch["doc_id"]
             for lo, hi, data, offsets, bounds, hashes, checks, docs, _ in windows.chunks(batch["text"]):
-                edge = np.searchsorted(docs, np.arange(hi - lo + 1))
+                edge, second = np.searchsorted(docs, np.arange(hi - lo + 1)), None
                 n_words, n_removed, spans, texts = np.diff(bounds), [], [], []
                 for d in range(hi - lo):
                     words = data[offsets[d] : offsets[d + 1]].tobytes().split()
@@ -383,7 +383,8 @@ def _kept(width: int, prints: _Prints):
                             f = prints.of(hashes[edge[d] : edge[d + 1]])
                             gone = np.isin(f, remove)
                             if keep[lo + d]:
-                                c, pairs = checks()[edge[d] : edge[d + 1]], {(x["hash"], x["check"]) for x in keep[lo + d]}
+                                second = checks() if second is None else second
+                                c, pairs = second[edge[d] : edge[d + 1]], {(x["hash"], x["check"]) for x in keep[lo + d]}
                                 for i in np.flatnonzero(gone).tolist():
                                     gone[i] = (int(f[i]), int(c[i : i + 1].view(np.int64)[0])) not in pairs
                             starts = np.flatnonzero(gone)
