@@ -213,8 +213,9 @@ def filter_urls(pages: DataFrame, rules=RULES, seeds=SEEDS, learn: Column | None
         each = rows.select(key, F.explode("words").alias("word")).join(odds, "word")
         return rows.join(each.groupBy(key).agg(F.sum("odds").alias(name)), key, "left").select(key, F.col("words").alias(f"{name}_words"), F.coalesce(name, F.lit(0)).cast("decimal(28,9)").alias(name))
 
-    by_host = scored(hosts.select("host", "words"), "host", "host_score")
-    by_path = scored(urls.select("path").distinct().withColumn("words", path_words), "path", "path_score")
+    # Written, so that both sides of the joins below are plain exchanges, whose large partitions Spark splits.
+    by_host = cut(scored(hosts.select("host", "words"), "host", "host_score"))
+    by_path = cut(scored(urls.select("path").distinct().withColumn("words", path_words), "path", "path_score"))
     sizes = hosts.groupBy("block").agg(F.sum("n").alias("n"))
     prior = sizes.agg((F.log((F.coalesce(F.sum(F.when(F.col("block"), F.col("n"))), F.lit(0)) + 1) / (F.coalesce(F.sum(F.when(~F.col("block"), F.col("n"))), F.lit(0)) + 1))).alias("prior"))
     out = urls.drop("spam").join(by_host, "host").join(by_path, "path").crossJoin(F.broadcast(prior))  # a number
